@@ -11,13 +11,13 @@ _LAST30 = "(partition by series_id order by date rows between 29 preceding and c
 _DAILY_BRAND = (sql.PRICE_OBS_BRAND, sql.daily("daily", "price_obs_brand"))
 
 
-def _rolling(function: str, out: str) -> str:
+def _rolling(function: str, out: str, source: str) -> str:
     return query(
         *_DAILY_BRAND,
         select=f"""
 select series_id, date,
        round(case when count(price) over {_LAST30} = 30 then {function}(price) over {_LAST30} end, 4) as {out}
-from daily""",
+from {source}""",
     )
 
 
@@ -205,8 +205,8 @@ tail as (
 select series_id, date, price from backwards b join tail t using (series_id)
 where not (t.flat_days > 0 and t.flat_days < 0.10 * t.n_rows) or back > t.flat_days""",
     )
-    out["rolling_mean_30"] = _rolling("avg", "rolling_mean")
-    out["rolling_std_30"] = _rolling("stddev_samp", "rolling_std")
+    out["rolling_mean_30"] = _rolling("avg", "rolling_mean", "price_obs_brand")
+    out["rolling_std_30"] = _rolling("stddev_samp", "rolling_std", "daily")
     out["volatility_chart"] = query(
         sql.PRICE_OBS,
         select=f"""

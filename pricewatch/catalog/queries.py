@@ -52,10 +52,8 @@ def flat_tail_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rolling_mean_30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = regularise.regularise(panels.price_obs_brand(spark, sf_dir))
-    return _round(rolling.rolling_mean(daily, 30), 4, "rolling_mean").select(
-        "series_id", "date", "rolling_mean"
-    )
+    obs = panels.price_obs_brand(spark, sf_dir)
+    return _round(rolling.rolling_mean(obs, 30), 4, "rolling_mean").drop("price")
 
 
 def rolling_std_30(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewatch.catalog import oracles as base_oracles
+from pricewatch.catalog import job_oracles, oracles as base_oracles
+from pricewatch.catalog import job_queries as jobs
 from pricewatch.catalog import queries as base
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +41,43 @@ def queries() -> dict[str, Query]:
         "hybrid_forecast": base.hybrid_forecast,
         "forecast_operational": base.forecast_operational,
         "backtest_forecast": base.backtest_forecast,
+        "clean_upload": jobs.clean_upload,
+        "import_files_valid": jobs.import_files_valid,
+        "concat_years": jobs.concat_years,
+        "dedupe_first": jobs.dedupe_first,
+        "upsert_prices": jobs.upsert_prices,
+        "upsert_table": jobs.upsert_table,
+        "append_unique": jobs.append_unique,
+        "safe_values": jobs.safe_values,
+        "train_slice": jobs.train_slice,
+        "chart_window": jobs.chart_window,
+        "future_calendar": jobs.future_calendar,
+        "backtest_metrics": jobs.backtest_metrics,
+        "backtest_metrics_positional": jobs.backtest_metrics_positional,
+        "model_winner": jobs.model_winner,
+        "model_winner_by_date": jobs.model_winner_by_date,
+        "log_variant_winner": jobs.log_variant_winner,
+        "recommendation": jobs.recommendation,
+        "fdi": jobs.fdi,
+        "seasonal_deviation": jobs.seasonal_deviation,
+        "risk_score": jobs.risk_score,
+        "risk_level": jobs.risk_level,
+        "risk_message": jobs.risk_message,
+        "risk_fallback": jobs.risk_fallback,
+        "risk_assessment": jobs.risk_assessment,
+        "risk_append": jobs.risk_append,
+        "risk_history": jobs.risk_history,
+        "risk_latest": jobs.risk_latest,
+        "forecast_replace": jobs.forecast_replace,
+        "timeline": jobs.timeline,
+        "forecast_summary": jobs.forecast_summary,
+        "risk_cards": jobs.risk_cards,
+        "refit_needed": jobs.refit_needed,
+        "fit_invalidate": jobs.fit_invalidate,
+        "export_csv": jobs.export_csv,
+        "stream_upsert": jobs.stream_upsert,
     }
 
 
 def oracles() -> dict[str, str]:
-    return base_oracles.oracles()
+    return {**base_oracles.oracles(), **job_oracles.oracles()}

@@ -33,7 +33,7 @@ def daily_panel(rows: DataFrame, series: Column, day: Column, amount: Column) ->
         .select(
             "series_id",
             "date",
-            (F.expr("(cents * 2 + n) div (n * 2)") / 100.0).alias("price"),
+            (F.expr("(cents * 2 + n) div nullif(n * 2, 0)") / 100.0).alias("price"),
         )
     )
 
