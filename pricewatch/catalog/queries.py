@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewatch.catalog.fixture import SETTINGS
-from pricewatch.operators import closed_form, features, flat_tail, regularise, rolling
+from pricewatch.operators import calendar, closed_form, features, flat_tail, regularise, rolling
 from pricewatch.plans import forecasting
 from pricewatch.sources import panels
 
@@ -32,9 +32,7 @@ def interp_limit30_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interp_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regularise.regularise(
-        panels.price_obs_null(spark, sf_dir), limit=None, zero_as_missing=False, fill_edges=False
-    )
+    return regularise.regularise(panels.price_obs_null(spark, sf_dir), fill=regularise.RISK)
 
 
 def fill_ff_bf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,12 +67,8 @@ def volatility_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(rolling.volatility_series(obs, start, end), 4, "volatility")
 
 
-def _risk_daily(obs: DataFrame) -> DataFrame:
-    return regularise.regularise(obs, limit=None, zero_as_missing=False, fill_edges=False)
-
-
 def _features(obs: DataFrame) -> DataFrame:
-    return features.risk_features(_risk_daily(obs), SETTINGS.risk)
+    return features.risk_features(obs, SETTINGS.risk)
 
 
 def std_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,15 +82,8 @@ def vol_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vol_ratio_short_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = _risk_daily(panels.price_obs_edge(spark, sf_dir))
-    aggregates = features.volatility_aggregates(7, 30)
-    return _round(
-        daily.groupBy("series_id")
-        .agg(*[value.alias(name) for name, value in aggregates.items()])
-        .select("series_id", features.volatility_ratio(30).alias("vol_ratio")),
-        6,
-        "vol_ratio",
-    )
+    obs = panels.price_obs_edge(spark, sf_dir)
+    return _round(features.volatility_ratios(obs, 7, 30), 6, "vol_ratio")
 
 
 def trend_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +106,7 @@ def series_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ari_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = closed_form.fit_ari(forecasting.prepare(panels.price_obs_brand(spark, sf_dir)))
+    fits = closed_form.fit_ari(regularise.segments(panels.price_obs_brand(spark, sf_dir)))
     return _round(fits, 8, "y_last", "d_last", "phi", "mu")
 
 
@@ -128,7 +115,7 @@ def _three_month_steps(fits: DataFrame) -> DataFrame:
 
 
 def ari_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fits = closed_form.fit_ari(forecasting.prepare(panels.price_obs_brand(spark, sf_dir)))
+    fits = closed_form.fit_ari(regularise.segments(panels.price_obs_brand(spark, sf_dir)))
     return _three_month_steps(fits).select(
         "series_id",
         F.date_add("last_date", F.col("step")).alias("forecast_date"),
@@ -172,11 +159,7 @@ def seasonal_forecast_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blend without trimming, from the cut-offs of the operational horizons."""
     obs = panels.price_obs_supplier(spark, sf_dir)
-    from pricewatch.operators import calendar
-
-    train = calendar.cut_rows(forecasting.prepare(obs, SETTINGS), SETTINGS.horizons)
-    fits = closed_form.fit_hybrid(train, forecasting.CUT_KEYS)
-    rows = calendar.with_steps(calendar.horizons_of_cut(fits, SETTINGS.horizons, SETTINGS))
+    rows = calendar.with_steps(forecasting.operational_fits(obs, SETTINGS, trim=False))
     return rows.select(
         "series_id",
         "horizon",

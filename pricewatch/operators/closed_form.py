@@ -1,94 +1,127 @@
 """Closed-form forecasts: log-difference AR(1) and trend plus seasonality.
 
-Both models are fitted with window and hash aggregates in one pass over the
-training rows of each series: one sort by date, no Python, no join. The fit of a
-series is a single row of parameters; forecasts are expressions over that row.
+Each series is reduced to at most 84 (month, weekday) cells of moments by one
+hash aggregation; both models follow from those cells. No window, sort or join
+runs over the training rows, no Python is involved, and rows are combined before
+any shuffle. A fit is one row of parameters; forecasts are expressions over it.
 
-Training rows carry the keys, ``date`` and ``price``. Rows without a usable
-price are ignored.
+Cell moments are kept as means and centred sums, which stay exact for constant
+and trending series where raw sums of squares would cancel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from pricewatch.operators.regularise import KEYS
+from pricewatch.operators.regularise import (
+    FORECAST,
+    KEYS,
+    Filling,
+    explode_days,
+    price_before,
+    price_on,
+    with_tails,
+)
 
 # Normal quantile of a two-sided 95 % interval.
 Z95 = 1.959964
 # Autoregressive coefficients are kept inside the stationary range.
 PHI_MAX = 0.999
+# Differences that vary less than this share of their square sum do not vary.
+FLAT_SHARE = 1e-12
 MONTHS = 12
 WEEKDAYS = 7
+# Day 0 of the time axis while moments are gathered.
+ORIGIN = date(2000, 1, 1)
 
-ARI_COLUMNS = ("y_last", "d_last", "phi", "mu")
-TREND_COLUMNS = ("level", "slope")
 
+def lagged_days(
+    segs: DataFrame,
+    keys: Sequence[str] = KEYS,
+    fill: Filling = FORECAST,
+    last: Column | None = None,
+) -> DataFrame:
+    """Daily rows up to ``last`` with the prices one and two days earlier.
+
+    ``segs`` are segments with tails (``regularise.with_tails``).
+    """
+    day = F.col("day")
+    return explode_days(segs, last=last).select(
+        *keys,
+        day.alias("date"),
+        price_on(day, fill).alias("price"),
+        price_before(day, 1, fill).alias("price_1"),
+        price_before(day, 2, fill).alias("price_2"),
+    )
+
+
+def _log(name: str) -> Column:
+    return F.when(F.col(name) > 0, F.ln(name))
 
-def _backwards(keys: Sequence[str]):
-    """Time runs backwards, in step with the flat-tail windows: one sort serves all."""
-    ordered = Window.partitionBy(*keys).orderBy(F.desc("date"))
-    return ordered, ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def _ari_sums() -> dict[str, Column]:
+    """Moments of ``dy(t)`` against ``dy(t-1)``, and the last level and difference."""
+    y, dy, dx = F.col("y"), F.col("dy"), F.col("dx")
+    pair = dx.isNotNull() & dy.isNotNull()
+    return {
+        "k": F.count(F.when(pair, F.lit(1))),
+        "sx": F.sum(F.when(pair, dx)),
+        "sy": F.sum(F.when(pair, dy)),
+        "sxx": F.sum(F.when(pair, dx * dx)),
+        "sxy": F.sum(F.when(pair, dx * dy)),
+        "y_last": F.max_by(y, "date"),
+        "d_last": F.max_by(dy, "date"),
+        "last_date": F.max("date"),
+    }
 
 
-def with_ari(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Adds the AR(1) fit on differences of the log price to every row of the series.
+def _with_differences(rows: DataFrame) -> DataFrame:
+    y, y1, y2 = _log("price"), _log("price_1"), _log("price_2")
+    return rows.withColumns({"y": y, "dy": y - y1, "dx": y1 - y2})
 
-    ``dy(t) = c + phi * dy(t-1)``; ``mu = c / (1 - phi)``. A series whose
-    differences do not vary has no slope and is forecast flat.
+
+def _solve_ari(sums: DataFrame) -> DataFrame:
+    """``phi`` and ``mu = c / (1 - phi)`` of ``dy(t) = c + phi * dy(t-1)``.
+
+    A series whose differences do not vary has no slope and is forecast flat.
     """
-    ordered, whole = _backwards(keys)
-    slope = F.regr_slope("dy", "dy_prev").over(whole)
-    intercept = F.regr_intercept("dy", "dy_prev").over(whole)
+    k = F.when(F.col("k") > 1, F.col("k"))
+    spread = F.col("sxx") - F.col("sx") * F.col("sx") / k
+    varies = spread > F.col("sxx") * FLAT_SHARE
+    slope = (F.col("sxy") - F.col("sx") * F.col("sy") / k) / F.when(varies, spread)
+    bounded = F.greatest(F.lit(-PHI_MAX), F.least(F.col("_slope"), F.lit(PHI_MAX)))
+    # The intercept belongs to the unbounded slope.
+    intercept = (F.col("sy") - F.col("_slope") * F.col("sx")) / k
+    known = F.col("_slope").isNotNull()
     return (
-        rows.withColumn("y", F.when(F.col("price") > 0, F.ln("price")))
-        .withColumn("dy", F.col("y") - F.lead("y").over(ordered))
-        .withColumn("dy_prev", F.lead("dy").over(ordered))
+        sums.withColumn("_slope", slope)
         .withColumns(
             {
-                "_phi": slope,
-                "_c": intercept,
-                "y_last": F.first("y").over(whole),
-                "d_last": F.first("dy").over(whole),
+                "phi": F.when(known, bounded).otherwise(F.lit(0.0)),
+                "mu": F.when(known, intercept / (1 - bounded)).otherwise(F.lit(0.0)),
+                "d_last": F.when(known, F.col("d_last")).otherwise(F.lit(0.0)),
             }
         )
-        .withColumns(_ari_limits("_phi", "_c"))
-        .drop("_phi", "_c", "y", "dy", "dy_prev")
+        .drop("_slope", "k", "sx", "sy", "sxx", "sxy")
     )
 
 
-def _ari_limits(phi: str, c: str) -> dict[str, Column]:
-    bounded = F.greatest(F.lit(-PHI_MAX), F.least(F.col(phi), F.lit(PHI_MAX)))
-    return {
-        "phi": F.coalesce(bounded, F.lit(0.0)),
-        "mu": F.when(F.col(phi).isNull(), F.lit(0.0)).otherwise(F.col(c) / (1 - bounded)),
-        "d_last": F.when(F.col(phi).isNull(), F.lit(0.0)).otherwise(F.col("d_last")),
-    }
-
-
-def fit_ari(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def fit_ari(
+    segs: DataFrame, keys: Sequence[str] = KEYS, fill: Filling = FORECAST
+) -> DataFrame:
     """One row per series: ``last_date``, ``y_last``, ``d_last``, ``phi``, ``mu``."""
-    ordered, _ = _backwards(keys)
-    return (
-        rows.withColumn("y", F.when(F.col("price") > 0, F.ln("price")))
-        .filter(F.col("y").isNotNull())
-        .withColumn("dy", F.col("y") - F.lead("y").over(ordered))
-        .withColumn("dy_prev", F.lead("dy").over(ordered))
+    rows = _with_differences(lagged_days(with_tails(segs, keys, fill), keys, fill))
+    sums = (
+        rows.filter(F.col("y").isNotNull())
         .groupBy(*keys)
-        .agg(
-            F.max("date").alias("last_date"),
-            F.max_by("y", "date").alias("y_last"),
-            F.max_by("dy", "date").alias("d_last"),
-            F.regr_slope("dy", "dy_prev").alias("_phi"),
-            F.regr_intercept("dy", "dy_prev").alias("_c"),
-        )
-        .withColumns(_ari_limits("_phi", "_c"))
-        .drop("_phi", "_c")
+        .agg(*[value.alias(name) for name, value in _ari_sums().items()])
     )
+    return _solve_ari(sums)
 
 
 def ari_at(step: Column) -> Column:
@@ -98,111 +131,127 @@ def ari_at(step: Column) -> Column:
     return F.exp(F.col("y_last") + step * mu + momentum)
 
 
-def with_trend(rows: DataFrame, target: Column, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Adds ``last_date``, the least-squares trend and each row's residual.
+def _trend_moments(target: Column) -> dict[str, Column]:
+    t = F.datediff("date", F.lit(ORIGIN)).cast("double")
+    n = F.count(target)
+    return {
+        "n": n,
+        "t_mean": F.avg(F.when(target.isNotNull(), t)),
+        "z_mean": F.avg(target),
+        "t_dev": F.var_pop(F.when(target.isNotNull(), t)) * n,
+        "z_dev": F.var_pop(target) * n,
+        "tz_dev": F.covar_pop(t, target) * n,
+        "last_date": F.max("date"),
+    }
+
+
+def _cells(rows: DataFrame, keys: Sequence[str], aggregates: dict[str, Column]) -> DataFrame:
+    return rows.groupBy(
+        *keys, F.month("date").alias("month"), F.dayofweek("date").alias("weekday")
+    ).agg(*[value.alias(name) for name, value in aggregates.items()])
+
+
+def fold_seasons(cells: DataFrame, keys: Sequence[str], ari: bool = False) -> DataFrame:
+    """Parameters of each series from its cells.
 
-    Time is counted in days from the last training row, so ``level`` is the
-    trend value there and a forecast ``h`` days ahead is ``level + slope * h``.
+    Least-squares trend first, then month means of the residuals, then weekday
+    means of what is left; ``sigma`` is the spread of the rest. ``level`` is the
+    trend value on the last training day.
     """
-    ordered, whole = _backwards(keys)
-    t = F.datediff("date", "last_date").cast("double")
-    return (
-        rows.withColumn("last_date", F.first("date").over(whole))
-        .withColumns({"_t": t, "_y": target})
+    series = Window.partitionBy(*keys)
+    by_month = Window.partitionBy(*keys, "month")
+    by_weekday = Window.partitionBy(*keys, "weekday")
+    n, t, z = F.col("n"), F.col("t_mean"), F.col("z_mean")
+    t_off, z_off = t - F.col("t_all"), z - F.col("z_all")
+    rest = F.col("r") - F.col("m") - F.col("w")
+    sse = F.sum(
+        F.col("z_dev")
+        - 2 * F.col("slope") * F.col("tz_dev")
+        + F.col("slope") * F.col("slope") * F.col("t_dev")
+        + n * rest * rest
+    )
+    aggregates = {
+        "_last": F.max("last_date"),
+        "slope": F.first("slope"),
+        "_a": F.first("a"),
+        "n_train": F.sum("n"),
+        "month_effect": F.array(
+            *[F.max(F.when(F.col("month") == i, F.col("m"))) for i in range(1, MONTHS + 1)]
+        ),
+        "weekday_effect": F.array(
+            *[F.max(F.when(F.col("weekday") == i, F.col("w"))) for i in range(1, WEEKDAYS + 1)]
+        ),
+        "_sse": sse,
+    }
+    if ari:
+        aggregates |= {name: F.sum(name) for name in ("k", "sx", "sy", "sxx", "sxy")}
+        aggregates |= {name: F.max_by(name, "last_date") for name in ("y_last", "d_last")}
+    days = F.datediff("_last", F.lit(ORIGIN))
+    folded = (
+        cells.filter(n > 0)
         .withColumns(
             {
-                "_b": F.regr_slope("_y", "_t").over(whole),
-                "_a": F.regr_intercept("_y", "_t").over(whole),
-                "_m": F.avg("_y").over(whole),
+                "n_all": F.sum("n").over(series),
+                "t_all": F.sum(n * t).over(series) / F.sum("n").over(series),
+                "z_all": F.sum(n * z).over(series) / F.sum("n").over(series),
             }
         )
         .withColumns(
             {
-                "slope": F.coalesce("_b", F.lit(0.0)),
-                "level": F.when(F.col("_b").isNull(), F.col("_m")).otherwise(F.col("_a")),
+                "_tt": F.sum(F.col("t_dev") + n * t_off * t_off).over(series),
+                "_tz": F.sum(F.col("tz_dev") + n * t_off * z_off).over(series),
             }
         )
-        .withColumn("resid", F.col("_y") - F.col("level") - F.col("slope") * F.col("_t"))
-        .drop("_t", "_y", "_a", "_b", "_m")
-    )
-
-
-def fold_seasons(
-    rows: DataFrame, keys: Sequence[str] = KEYS, carry: Sequence[str] = TREND_COLUMNS
-) -> DataFrame:
-    """Month and weekday effects of the residuals, one row per series.
-
-    Residuals are first summed into (month, weekday) cells, at most 84 per
-    series; the effects and the spread follow from the cell sums alone.
-    ``carry`` names per-series constants kept in the result.
-    """
-    cells = (
-        rows.groupBy(*keys, F.month("date").alias("month"), F.dayofweek("date").alias("weekday"))
-        .agg(
-            F.count("resid").alias("n"),
-            F.sum("resid").alias("s"),
-            F.sum(F.col("resid") * F.col("resid")).alias("q"),
-            F.first("last_date").alias("last_date"),
-            *[F.first(c).alias(c) for c in carry],
+        .withColumn(
+            "slope",
+            F.when(F.col("_tt") > 0, F.col("_tz") / F.col("_tt")).otherwise(F.lit(0.0)),
         )
-    )
-    by_month = Window.partitionBy(*keys, "month")
-    by_weekday = Window.partitionBy(*keys, "weekday")
-    shift = F.col("m") + F.col("w")
-    sse = F.sum(F.col("q") - 2 * shift * F.col("s") + F.col("n") * shift * shift)
-    return (
-        cells.withColumn("m", F.sum("s").over(by_month) / F.sum("n").over(by_month))
+        .withColumn("a", F.col("z_all") - F.col("slope") * F.col("t_all"))
+        .withColumn("r", z - F.col("a") - F.col("slope") * t)
+        .withColumn("m", F.sum(n * F.col("r")).over(by_month) / F.sum("n").over(by_month))
         .withColumn(
             "w",
-            F.sum(F.col("s") - F.col("n") * F.col("m")).over(by_weekday)
-            / F.sum("n").over(by_weekday),
+            F.sum(n * (F.col("r") - F.col("m"))).over(by_weekday) / F.sum("n").over(by_weekday),
         )
         .groupBy(*keys)
-        .agg(
-            F.first("last_date").alias("last_date"),
-            *[F.first(c).alias(c) for c in carry],
-            F.sum("n").alias("n_train"),
-            F.array(
-                *[F.max(F.when(F.col("month") == i, F.col("m"))) for i in range(1, MONTHS + 1)]
-            ).alias("month_effect"),
-            F.array(
-                *[F.max(F.when(F.col("weekday") == i, F.col("w"))) for i in range(1, WEEKDAYS + 1)]
-            ).alias("weekday_effect"),
-            sse.alias("_sse"),
-        )
-        .withColumn(
-            "sigma",
-            F.when(
-                F.col("n_train") > 1,
-                F.sqrt(F.greatest(F.col("_sse"), F.lit(0.0)) / (F.col("n_train") - 1)),
-            ).otherwise(F.lit(0.0)),
+        .agg(*[value.alias(name) for name, value in aggregates.items()])
+        .withColumns(
+            {
+                "last_date": F.col("_last"),
+                "level": F.col("_a") + F.col("slope") * days,
+                "sigma": F.when(
+                    F.col("n_train") > 1,
+                    F.sqrt(F.greatest(F.col("_sse"), F.lit(0.0)) / (F.col("n_train") - 1)),
+                ).otherwise(F.lit(0.0)),
+            }
         )
-        .drop("_sse")
+        .drop("_last", "_a", "_sse")
     )
+    return _solve_ari(folded) if ari else folded
 
 
 def fit_seasonal(rows: DataFrame, keys: Sequence[str] = KEYS, log: bool = False) -> DataFrame:
-    """Trend plus month-of-year and weekday effects; ``log`` fits ln(price + 1)."""
+    """Trend plus month-of-year and weekday effects; ``log`` fits ln(price + 1).
+
+    Works on any rows with ``date`` and ``price``; rows without a price are skipped.
+    """
     target = F.log1p("price") if log else F.col("price")
-    priced = rows.filter(F.col("price").isNotNull())
-    return fold_seasons(with_trend(priced, target, keys), keys)
+    return fold_seasons(_cells(rows, keys, _trend_moments(target)), keys)
 
 
 def fit_seasonal_variants(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Both variants in one job; the column ``model`` is ``no_log`` or ``log``."""
-    both = rows.filter(F.col("price").isNotNull()).withColumn(
-        "model", F.explode(F.array(F.lit("no_log"), F.lit("log")))
-    )
+    both = rows.withColumn("model", F.explode(F.array(F.lit("no_log"), F.lit("log"))))
     target = F.when(F.col("model") == "log", F.log1p("price")).otherwise(F.col("price"))
     keyed = (*keys, "model")
-    return fold_seasons(with_trend(both, target, keyed), keyed)
+    return fold_seasons(_cells(both, keyed, _trend_moments(target)), keyed)
 
 
-def fit_hybrid(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Both models of the blend on the same training rows, fitted in one pass."""
-    priced = rows.filter(F.col("price").isNotNull())
-    both = with_trend(with_ari(priced, keys), F.col("price"), keys)
-    return fold_seasons(both, keys, carry=(*ARI_COLUMNS, *TREND_COLUMNS))
+def fit_hybrid(days: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Both models of the blend from the same lagged days, in one aggregation."""
+    aggregates = {**_trend_moments(F.col("price")), **_ari_sums()}
+    rows = _with_differences(days.filter(F.col("price").isNotNull()))
+    return fold_seasons(_cells(rows, keys, aggregates), keys, ari=True)
 
 
 def seasonal_part(step: Column) -> Column:

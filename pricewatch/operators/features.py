@@ -1,8 +1,9 @@
 """Risk features of the latest day of each series.
 
-Rows come from ``regularise`` and carry ``rn`` (1 = last day). Every feature is
-a conditional aggregate over ``rn``, so one hash aggregation yields all of them
-in time linear in the rows, with no sliding frame and no second exchange.
+Every feature is an aggregate over the days of the calendar, conditional on
+``rn`` (1 = last day), so there is no sliding frame and no window over days.
+Features of the last year explode only the last year; the few statistics of the
+whole history are a second, narrow aggregation over the same exchange.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from pricewatch.config import RiskSettings
-from pricewatch.operators.regularise import KEYS
+from pricewatch.operators.regularise import KEYS, RISK, explode_days, price_on, segments
 
 # Thresholds of the reference rules.
 TINY = 1e-10
@@ -57,8 +58,14 @@ def average_aggregates(days: int) -> dict[str, Column]:
         "avg_n": F.count(_last(days)),
         "avg_last": F.avg(_last(days)),
         "std_last": F.stddev_samp(_last(days)),
+    }
+
+
+def history_aggregates() -> dict[str, Column]:
+    return {
         "avg_all": F.avg("price"),
         "std_all": F.stddev_samp("price"),
+        "vol_n": F.count("price"),
     }
 
 
@@ -76,7 +83,6 @@ def deviation(days: int) -> Column:
 
 def volatility_aggregates(recent: int, baseline: int) -> dict[str, Column]:
     return {
-        "vol_n": F.count("price"),
         "vol_recent": F.stddev_samp(_last(recent)),
         "vol_baseline": F.stddev_samp(_last(baseline)),
         "vol_fallback": F.stddev_samp(_last(VOL_FALLBACK_DAYS)),
@@ -146,9 +152,9 @@ def trend(window: int) -> Column:
     return chain.otherwise(stable(F.lit(0.0)))
 
 
-def season_aggregates() -> dict[str, Column]:
-    """Expects ``anchor_month``: the month of the last historical date."""
-    in_month = F.month("date") == F.col("anchor_month")
+def season_aggregates(last_date: Column) -> dict[str, Column]:
+    """All history in the month of the last historical date, this year included."""
+    in_month = F.month("date") == F.month(last_date)
     return {
         "season_n": F.count(F.when(in_month, F.lit(1))),
         "season_avg": F.avg(F.when(in_month, F.col("price"))),
@@ -156,41 +162,76 @@ def season_aggregates() -> dict[str, Column]:
 
 
 def seasonal_baseline() -> Column:
-    """Mean of all history in the anchor month; null with fewer than 10 calendar rows."""
+    """Mean of the month; null with fewer than 10 calendar rows."""
     return F.when(F.col("season_n") >= SEASON_MIN_ROWS, F.col("season_avg"))
 
 
-def with_anchor_month(daily: DataFrame) -> DataFrame:
-    """Month of the last date of the series, from the row's own distance to it."""
-    return daily.withColumn("anchor_month", F.month(F.date_add("date", F.col("rn") - 1)))
+def _days(segs: DataFrame, keys: Sequence[str], first: Column | None = None) -> DataFrame:
+    day = F.col("day")
+    return explode_days(segs, first=first).select(
+        *keys,
+        day.alias("date"),
+        price_on(day, RISK).alias("price"),
+        "last_date",
+        (F.datediff("last_date", day) + 1).alias("rn"),
+    )
+
+
+def _aggregate(rows: DataFrame, keys: Sequence[str], aggregates: dict[str, Column]) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[value.alias(name) for name, value in aggregates.items()])
+
+
+def volatility_ratios(
+    obs: DataFrame, recent: int, baseline: int, keys: Sequence[str] = KEYS
+) -> DataFrame:
+    """Volatility ratio of each series for any pair of windows."""
+    aggregates = {**volatility_aggregates(recent, baseline), "vol_n": F.count("price")}
+    rows = _aggregate(_days(segments(obs, keys, RISK), keys), keys, aggregates)
+    return rows.select(*keys, volatility_ratio(baseline).alias("vol_ratio"))
 
 
 def risk_features(
-    daily: DataFrame, settings: RiskSettings = RiskSettings(), keys: Sequence[str] = KEYS
+    obs: DataFrame, settings: RiskSettings = RiskSettings(), keys: Sequence[str] = KEYS
 ) -> DataFrame:
-    """One row per series with every historical input of the risk score."""
-    aggregates = {
-        **average_aggregates(settings.average_days),
-        **volatility_aggregates(settings.vol_recent_days, settings.vol_baseline_days),
-        **trend_aggregates(settings.trend_days),
-        **season_aggregates(),
-        "last_date": F.max("date"),
-        "last_price": F.max_by("price", "date"),
-    }
+    """One row per series with every historical input of the risk score.
+
+    Zero prices count as prices here and gaps of any length are interpolated,
+    unlike in the forecast path.
+    """
+    segs = segments(obs, keys, RISK)
+    longest = max(
+        settings.average_days,
+        settings.vol_recent_days,
+        settings.vol_baseline_days,
+        VOL_FALLBACK_DAYS,
+        *_trend_windows(settings.trend_days),
+    )
+    tail = _aggregate(
+        _days(segs, keys, first=F.date_sub("last_date", longest - 1)),
+        keys,
+        {
+            **average_aggregates(settings.average_days),
+            **volatility_aggregates(settings.vol_recent_days, settings.vol_baseline_days),
+            **trend_aggregates(settings.trend_days),
+        },
+    )
+    history = _aggregate(
+        _days(segs, keys),
+        keys,
+        {
+            **history_aggregates(),
+            **season_aggregates(F.col("last_date")),
+            "last_day": F.max("last_date"),
+        },
+    )
     found = trend(settings.trend_days)
-    return (
-        with_anchor_month(daily)
-        .groupBy(*keys)
-        .agg(*[value.alias(name) for name, value in aggregates.items()])
-        .select(
-            *keys,
-            "last_date",
-            "last_price",
-            moving_average(settings.average_days).alias("moving_avg"),
-            deviation(settings.average_days).alias("rolling_std"),
-            volatility_ratio(settings.vol_baseline_days).alias("vol_ratio"),
-            found["slope"].alias("trend_slope"),
-            found["direction"].alias("direction"),
-            seasonal_baseline().alias("seasonal_baseline"),
-        )
+    return history.join(tail, list(keys)).select(
+        *keys,
+        F.col("last_day").alias("last_date"),
+        moving_average(settings.average_days).alias("moving_avg"),
+        deviation(settings.average_days).alias("rolling_std"),
+        volatility_ratio(settings.vol_baseline_days).alias("vol_ratio"),
+        found["slope"].alias("trend_slope"),
+        found["direction"].alias("direction"),
+        seasonal_baseline().alias("seasonal_baseline"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -14,50 +14,72 @@ from pricewatch.operators.regularise import KEYS
 MAX_TAIL = 60
 FLAT_STD = 1.0
 MAX_SHARE = 0.10
+# Rows of a series that can decide the answer.
+TAIL_ROWS = MAX_TAIL - 1
 
 
-def with_flat_days(train: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Adds ``rn`` (1 = last row), ``n_rows`` and ``flat_days``.
+def first_moving(tail: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``flat_days`` per series from its last rows.
 
+    ``tail`` holds at least the last 59 rows of each series with ``rn`` (1 =
+    last row) and ``n_priced``, the number of prices of the whole series.
     ``flat_days`` is ``w - 1`` for the smallest ``w`` in ``2 .. min(60, n) - 1``
     whose last ``w`` prices have a sample deviation above 1.0, else 0. So two
     differing last prices already give 1, and a tail of 59 or more equal rows
     gives 0. The running deviation goes backwards in time over a growing frame.
     """
-    backwards = Window.partitionBy(*keys).orderBy(F.desc("date"))
-    running = backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = backwards.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    running = (
+        Window.partitionBy(*keys)
+        .orderBy("rn")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     ends_tail = (
         (F.col("_sd") > FLAT_STD)
         & (F.col("rn") >= 2)
         & (F.col("rn") <= F.least(F.lit(MAX_TAIL), F.col("n_priced")) - 1)
     )
     return (
-        train.withColumns(
-            {
-                "rn": F.row_number().over(backwards),
-                "_sd": F.stddev_samp("price").over(running),
-                "n_rows": F.count(F.lit(1)).over(whole),
-                "n_priced": F.count("price").over(whole),
-            }
-        )
-        .withColumn(
-            "flat_days",
-            F.coalesce(F.min(F.when(ends_tail, F.col("rn") - 1)).over(whole), F.lit(0)),
+        tail.filter(F.col("rn") <= TAIL_ROWS)
+        .withColumn("_sd", F.stddev_samp("price").over(running))
+        .groupBy(*keys)
+        .agg(
+            F.coalesce(F.min(F.when(ends_tail, F.col("rn") - 1)), F.lit(0))
+            .cast("int")
+            .alias("flat_days")
         )
-        .drop("_sd", "n_priced")
     )
 
 
-def flat_tail(train: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per series: ``n_rows`` and ``flat_days``."""
-    return with_flat_days(train, keys).groupBy(*keys).agg(
-        F.first("n_rows").alias("n_rows"), F.first("flat_days").alias("flat_days")
+def trimmed_days(flat_days: Column, n_rows: Column) -> Column:
+    """Rows to drop: ``flat_days`` if they are fewer than 10 % of the series, else 0."""
+    few = (flat_days > 0) & (flat_days < n_rows * MAX_SHARE)
+    return F.when(few, flat_days).otherwise(F.lit(0))
+
+
+def _numbered(train: DataFrame, keys: Sequence[str]) -> DataFrame:
+    backwards = Window.partitionBy(*keys).orderBy(F.desc("date"))
+    whole = backwards.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return train.select(
+        "*",
+        F.row_number().over(backwards).alias("rn"),
+        F.count(F.lit(1)).over(whole).alias("n_rows"),
+        F.count("price").over(whole).alias("n_priced"),
     )
 
 
+def flat_tail(train: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per series: ``n_rows`` and ``flat_days`` of any training rows."""
+    rows = _numbered(train, keys)
+    counts = rows.filter(F.col("rn") == 1).select(*keys, "n_rows")
+    return counts.join(first_moving(rows, keys), list(keys))
+
+
 def trim_flat_tail(train: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Drops the last ``flat_days`` rows when they are fewer than 10 % of the series."""
-    rows = with_flat_days(train, keys)
-    trimmed = (F.col("flat_days") > 0) & (F.col("flat_days") < F.col("n_rows") * MAX_SHARE)
-    return rows.filter(~trimmed | (F.col("rn") > F.col("flat_days"))).drop("n_rows", "flat_days")
+    """Drops the flat tail of each series when it is short enough."""
+    rows = _numbered(train, keys)
+    days = first_moving(rows, keys)
+    return (
+        rows.join(days, list(keys))
+        .filter(F.col("rn") > trimmed_days(F.col("flat_days"), F.col("n_rows")))
+        .select(*train.columns)
+    )

@@ -1,25 +1,50 @@
 """Gap-free daily calendars and gap filling.
 
-All operators here need one hash exchange on the series and one sort by date.
-The calendar is made by exploding each gap in place, so there is no calendar
-table, no join and no second scan of the source.
+A series is first turned into *segments*: one row per known price with its
+neighbours and the days it covers, up to the day before the next known price.
+That takes one hash exchange on the series and one sort by date. Days come from
+exploding segments in place, so there is no calendar table, no join and no
+second scan. A consumer that needs only part of the calendar clips the segments
+before the explode; every price, and the prices one and two days earlier, are
+arithmetic on the segment, so no window runs over exploded days.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 KEYS = ("series_id",)
 
 
-def _windows(keys: Sequence[str]):
-    ordered = Window.partitionBy(*keys).orderBy("date")
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return ordered, whole
+@dataclass(frozen=True)
+class Filling:
+    """How days without a price are filled.
+
+    ``limit``: days of a gap that lie on the line between its ends; later days
+    repeat the last of them (``fill_edges``) or stay null. ``None``: all days.
+    ``zero_as_missing``: a zero price counts as missing.
+    ``fill_edges``: days before the first price take the first price.
+    Days after the last price always take the last price.
+    """
+
+    limit: int | None = 30
+    zero_as_missing: bool = True
+    fill_edges: bool = True
+
+
+# The forecast path and the risk path fill differently.
+FORECAST = Filling()
+RISK = Filling(limit=None, zero_as_missing=False, fill_edges=False)
+MODEL = Filling(limit=None, zero_as_missing=True, fill_edges=False)
+
+
+def _duplicate(kind: str) -> Column:
+    return F.raise_error(F.concat(F.lit("duplicate date "), F.col("date"))).cast(kind)
 
 
 def daily_calendar(obs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -27,21 +52,18 @@ def daily_calendar(obs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
     A date that occurs twice in a series is an error.
     """
-    ordered, _ = _windows(keys)
-    following = F.lead("date").over(ordered)
+    following = F.lead("date").over(Window.partitionBy(*keys).orderBy("date"))
     return (
         obs.select(*keys, "date", "price", following.alias("next_date"))
-        .withColumn(
-            "next_date",
-            F.when(
-                F.col("next_date") == F.col("date"),
-                F.raise_error(F.concat(F.lit("duplicate date "), F.col("date"))).cast("date"),
-            ).otherwise(F.col("next_date")),
-        )
         .withColumn(
             "day",
             F.explode(
-                F.sequence("date", F.coalesce(F.date_sub("next_date", 1), F.col("date")))
+                F.sequence(
+                    "date",
+                    F.when(F.col("next_date") == F.col("date"), _duplicate("date")).otherwise(
+                        F.coalesce(F.date_sub("next_date", 1), F.col("date"))
+                    ),
+                )
             ),
         )
         .select(
@@ -52,85 +74,132 @@ def daily_calendar(obs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
-def regularise(
-    obs: DataFrame,
-    keys: Sequence[str] = KEYS,
-    limit: int | None = 30,
-    zero_as_missing: bool = True,
-    fill_edges: bool = True,
-) -> DataFrame:
-    """Daily calendar with linear interpolation between observations.
-
-    Inside a gap the first ``limit`` missing days lie on the line between the
-    neighbours; later days repeat the last interpolated value (``fill_edges``)
-    or stay null. Days after the last observation take its value, days before
-    the first take the first value with ``fill_edges`` and stay null without.
-    ``limit=None`` interpolates whole gaps.
+def segments(obs: DataFrame, keys: Sequence[str] = KEYS, fill: Filling = FORECAST) -> DataFrame:
+    """One row per known price: ``date``, ``price``, the next known date and price, the
+    covered days ``seg_start .. seg_end`` and the first and last date of the series.
 
-    Returns the keys, ``date``, ``price``, ``is_observed`` and ``rn`` (1 for the
-    last day of the series), which spares consumers a ranking window.
+    A series without any known price keeps one row with a null price.
     """
-    ordered, whole = _windows(keys)
+    ordered = Window.partitionBy(*keys).orderBy("date")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     usable = F.col("price").isNotNull() & ~F.isnan("price")
-    if zero_as_missing:
+    if fill.zero_as_missing:
         usable = usable & (F.col("price") != 0)
-
-    rows = (
+    stays = F.col("price").isNotNull() | (
+        (F.col("n_known") == 0) & (F.col("date") == F.col("first_date"))
+    )
+    return (
         obs.select(*keys, "date", F.when(usable, F.col("price")).alias("price"))
-        .withColumns(
-            {
-                "first_date": F.first("date").over(whole),
-                "last_date": F.last("date").over(whole),
-                "n_valid": F.count("price").over(whole),
-                "twin_date": F.lead("date").over(ordered),
-            }
+        .select(
+            "*",
+            F.first("date").over(whole).alias("first_date"),
+            F.last("date").over(whole).alias("last_date"),
+            F.count("price").over(whole).alias("n_known"),
+            F.lead("date").over(ordered).alias("twin_date"),
         )
         .filter(
-            F.when(
-                F.col("twin_date") == F.col("date"),
-                F.raise_error(F.concat(F.lit("duplicate date "), F.col("date"))).cast("boolean"),
-            ).otherwise(
-                F.col("price").isNotNull()
-                | ((F.col("n_valid") == 0) & (F.col("date") == F.col("first_date")))
-            )
+            F.when(F.col("twin_date") == F.col("date"), _duplicate("boolean")).otherwise(stays)
         )
-        .withColumns(
-            {
-                "prev_date": F.lag("date").over(ordered),
-                "next_date": F.lead("date").over(ordered),
-                "next_price": F.lead("price").over(ordered),
-            }
+        .select(
+            *keys,
+            "date",
+            "price",
+            "first_date",
+            "last_date",
+            F.lag("date").over(ordered).alias("prev_date"),
+            F.lead("date").over(ordered).alias("next_date"),
+            F.lead("price").over(ordered).alias("next_price"),
         )
-        .withColumn(
-            "day",
-            F.explode(
-                F.sequence(
-                    F.when(F.col("prev_date").isNull(), F.col("first_date")).otherwise(
-                        F.col("date")
-                    ),
-                    F.coalesce(F.date_sub("next_date", 1), F.col("last_date")),
-                )
-            ),
+        .select(
+            "*",
+            F.when(F.col("prev_date").isNull(), F.col("first_date"))
+            .otherwise(F.col("date"))
+            .alias("seg_start"),
+            F.coalesce(F.date_sub("next_date", 1), F.col("last_date")).alias("seg_end"),
         )
+        .drop("prev_date")
     )
 
-    offset = F.datediff("day", "date")
-    step = offset if limit is None else F.least(offset, F.lit(limit))
+
+def price_on(day: Column, fill: Filling) -> Column:
+    """Price of a segment on one of its days."""
+    offset = F.datediff(day, "date")
+    step = offset if fill.limit is None else F.least(offset, F.lit(fill.limit))
     gap = F.datediff("next_date", "date")
-    on_line = F.col("price") + (F.col("next_price") - F.col("price")) * step / gap
+    line = F.col("price") + (F.col("next_price") - F.col("price")) * step / gap
+    before = F.col("price") if fill.fill_edges else F.lit(None).cast("double")
     price = (
         F.when(offset == 0, F.col("price"))
-        .when(offset < 0, F.col("price") if fill_edges else F.lit(None).cast("double"))
+        .when(offset < 0, before)
         .when(F.col("next_price").isNull(), F.col("price"))
-        .otherwise(on_line)
+        .otherwise(line)
+    )
+    if fill.limit is not None and not fill.fill_edges:
+        price = F.when(offset <= fill.limit, price)
+    return price
+
+
+def with_tails(segs: DataFrame, keys: Sequence[str] = KEYS, fill: Filling = FORECAST) -> DataFrame:
+    """Adds the prices of the last day and the day before it of the previous segment.
+
+    They are what :func:`price_before` needs at the first days of a segment.
+    """
+    ordered = Window.partitionBy(*keys).orderBy("date")
+    one_day = F.col("seg_end") == F.col("seg_start")
+    return (
+        segs.withColumn("_tail", price_on(F.col("seg_end"), fill))
+        .withColumn("prev_tail", F.lag("_tail").over(ordered))
+        .withColumn(
+            "_tail2",
+            F.when(one_day, F.col("prev_tail")).otherwise(
+                price_on(F.date_sub("seg_end", 1), fill)
+            ),
+        )
+        .withColumn("prev_tail2", F.lag("_tail2").over(ordered))
+        .drop("_tail", "_tail2")
     )
-    if limit is not None and not fill_edges:
-        price = F.when(offset <= limit, price)
-    return rows.select(
+
+
+def price_before(day: Column, back: int, fill: Filling) -> Column:
+    """Price one or two days before ``day``; null before the first day of the series."""
+    inside = F.datediff(day, "seg_start")
+    own = price_on(F.date_sub(day, back), fill)
+    if back == 1:
+        return F.when(inside >= 1, own).otherwise(F.col("prev_tail"))
+    if back == 2:
+        return (
+            F.when(inside >= 2, own)
+            .when(inside == 1, F.col("prev_tail"))
+            .otherwise(F.col("prev_tail2"))
+        )
+    raise ValueError("back must be 1 or 2")
+
+
+def explode_days(
+    segs: DataFrame, first: Column | None = None, last: Column | None = None
+) -> DataFrame:
+    """One row per day of each segment, as ``day``; only days in ``[first, last]`` if given."""
+    start, end = F.col("seg_start"), F.col("seg_end")
+    if first is not None:
+        segs, start = segs.filter(end >= first), F.greatest(start, first)
+    if last is not None:
+        segs, end = segs.filter(F.col("seg_start") <= last), F.least(end, last)
+    return segs.withColumn("day", F.explode(F.sequence(start, end)))
+
+
+def regularise(
+    obs: DataFrame, keys: Sequence[str] = KEYS, fill: Filling = FORECAST
+) -> DataFrame:
+    """Daily calendar with filled gaps.
+
+    Returns the keys, ``date``, ``price``, ``is_observed`` and ``rn`` (1 for the
+    last day of the series), which spares consumers a ranking window.
+    """
+    return explode_days(segments(obs, keys, fill)).select(
         *keys,
         F.col("day").alias("date"),
-        price.alias("price"),
-        ((offset == 0) & F.col("price").isNotNull()).alias("is_observed"),
+        price_on(F.col("day"), fill).alias("price"),
+        ((F.col("day") == F.col("date")) & F.col("price").isNotNull()).alias("is_observed"),
         (F.datediff("last_date", "day") + 1).alias("rn"),
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import Window
 from pricewatch.config import DEFAULT, Settings
 from pricewatch.functions.numeric import clip_negative
 from pricewatch.operators import calendar, closed_form, metrics
-from pricewatch.operators.regularise import regularise
+from pricewatch.operators.regularise import MODEL, segments
 
 KEYS = ("series_id", "horizon")
 
@@ -67,8 +67,7 @@ def predictions(
     skips missing rows.
     """
     train = calendar.training_rows(obs, settings.eval_windows, settings).drop("train_end")
-    calendar_rows = regularise(train, KEYS, limit=None, zero_as_missing=True, fill_edges=False)
-    ari = closed_form.fit_ari(calendar_rows, KEYS)
+    ari = closed_form.fit_ari(segments(train, KEYS, MODEL), KEYS, MODEL)
     seasonal = closed_form.fit_seasonal(train, KEYS)
     step = F.col("_step")
     actual = actual_rows(obs, settings)

@@ -1,8 +1,8 @@
 """Operational forecasts and backtests of whole panels.
 
-One plan covers all series and horizons: prepare the daily series, cut the
-training rows, fit both models, blend, label. The panel is exchanged once, on
-the series; everything after that stays in the same partitions.
+One plan covers all series and horizons: prepare the series, cut the training
+days, fit both models, blend, label. The panel is exchanged once, on the series;
+everything after that stays in the same partitions.
 """
 
 from __future__ import annotations
@@ -11,34 +11,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewatch.config import DEFAULT, Settings
-from pricewatch.operators import calendar, closed_form
-from pricewatch.operators.flat_tail import trim_flat_tail
-from pricewatch.operators.regularise import regularise
+from pricewatch.functions import literals
+from pricewatch.operators import calendar, closed_form, flat_tail
+from pricewatch.operators.regularise import (
+    Filling,
+    explode_days,
+    price_on,
+    regularise,
+    segments,
+    with_tails,
+)
 
 CUT_KEYS = ("series_id", "train_end")
 
 
+def filling(settings: Settings = DEFAULT) -> Filling:
+    return Filling(limit=settings.interpolation_limit)
+
+
 def prepare(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Daily series for the forecast path: zero is missing, gaps filled up to the limit."""
-    return regularise(obs, limit=settings.interpolation_limit).select(
-        "series_id", "date", "price"
+    return regularise(obs, fill=filling(settings)).select("series_id", "date", "price")
+
+
+def _with_cuts(segs: DataFrame, cuts: Column) -> DataFrame:
+    """Segments once per cut-off; ``cut_last`` is the last training day of the series."""
+    return segs.withColumn("train_end", F.explode(cuts)).withColumn(
+        "cut_last", F.least("last_date", "train_end")
     )
 
 
-def operational_fits(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Blend parameters per series and horizon, after trimming flat tails."""
-    train = trim_flat_tail(
-        calendar.cut_rows(prepare(obs, settings), settings.horizons), CUT_KEYS
+def flat_days_by_cut(segs: DataFrame, cuts: Column, fill: Filling) -> DataFrame:
+    """``flat_days`` per series as a map from the cut-off.
+
+    Only the last 59 days before each cut-off are exploded.
+    """
+    day = F.col("day")
+    tail = explode_days(
+        _with_cuts(segs, cuts),
+        first=F.date_sub("cut_last", flat_tail.TAIL_ROWS - 1),
+        last=F.col("cut_last"),
+    ).select(
+        *CUT_KEYS,
+        price_on(day, fill).alias("price"),
+        (F.datediff("cut_last", day) + 1).alias("rn"),
+        (F.datediff("cut_last", "first_date") + 1).alias("n_priced"),
     )
-    fits = closed_form.fit_hybrid(train, CUT_KEYS)
-    return calendar.horizons_of_cut(fits, settings.horizons, settings)
+    found = flat_tail.first_moving(tail.filter(F.col("price").isNotNull()), CUT_KEYS)
+    return found.groupBy("series_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("train_end", "flat_days"))).alias("flat_days")
+    )
+
+
+def _fits(segs: DataFrame, fill: Filling) -> DataFrame:
+    """Blend parameters of segments with ``train_end`` and ``cut_last``."""
+    days = closed_form.lagged_days(segs, CUT_KEYS, fill, last=F.col("cut_last"))
+    return closed_form.fit_hybrid(days, CUT_KEYS)
+
+
+def operational_fits(
+    obs: DataFrame, settings: Settings = DEFAULT, trim: bool = True
+) -> DataFrame:
+    """Blend parameters per series and horizon, after trimming flat tails."""
+    fill = filling(settings)
+    cuts = literals.dates(h.train_end for h in settings.horizons)
+    segs = segments(obs, fill=fill)
+    train = _with_cuts(with_tails(segs, fill=fill), cuts)
+    if trim:
+        n_rows = F.datediff("cut_last", "first_date") + 1
+        found = F.coalesce(F.col("flat_days")[F.col("train_end")], F.lit(0))
+        train = train.join(flat_days_by_cut(segs, cuts, fill), "series_id", "left").withColumn(
+            "cut_last", F.date_sub("cut_last", flat_tail.trimmed_days(found, n_rows))
+        )
+    return calendar.horizons_of_cut(_fits(train, fill), settings.horizons, settings)
 
 
 def backtest_fits(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Blend parameters per series and backtest window; flat tails are kept."""
-    train = calendar.cut_rows(prepare(obs, settings), settings.eval_windows)
-    fits = closed_form.fit_hybrid(train, CUT_KEYS)
-    return calendar.horizons_of_cut(fits, settings.eval_windows, settings)
+    fill = filling(settings)
+    cuts = literals.dates(w.train_end for w in settings.eval_windows)
+    train = _with_cuts(with_tails(segments(obs, fill=fill), fill=fill), cuts)
+    return calendar.horizons_of_cut(_fits(train, fill), settings.eval_windows, settings)
 
 
 def blend(arima: Column, seasonal: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pricewatch.config import DEFAULT, Settings
 from pricewatch.functions import scoring
 from pricewatch.operators import features
-from pricewatch.operators.regularise import regularise
 from pricewatch.plans import forecasting
 
 
@@ -18,8 +17,7 @@ def historical_features(obs: DataFrame, settings: Settings = DEFAULT) -> DataFra
     Unlike the forecast path, zero prices count as prices here and gaps of any
     length are interpolated.
     """
-    daily = regularise(obs, limit=None, zero_as_missing=False, fill_edges=False)
-    return features.risk_features(daily, settings.risk)
+    return features.risk_features(obs, settings.risk)
 
 
 def score(rows: DataFrame) -> DataFrame:
