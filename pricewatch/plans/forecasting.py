@@ -76,13 +76,18 @@ def operational_fits(
     fill = filling(settings)
     cuts = literals.dates(h.train_end for h in settings.horizons)
     segs = segments(obs, fill=fill)
-    train = _with_cuts(with_tails(segs, fill=fill), cuts)
+    train = with_tails(segs, fill=fill)
+    if trim:
+        # Joined before the cut-offs multiply the rows: the segments are still
+        # sorted by series here.
+        train = train.join(flat_days_by_cut(segs, cuts, fill), "series_id", "left")
+    train = _with_cuts(train, cuts)
     if trim:
         n_rows = F.datediff("cut_last", "first_date") + 1
         found = F.coalesce(F.col("flat_days")[F.col("train_end")], F.lit(0))
-        train = train.join(flat_days_by_cut(segs, cuts, fill), "series_id", "left").withColumn(
+        train = train.withColumn(
             "cut_last", F.date_sub("cut_last", flat_tail.trimmed_days(found, n_rows))
-        )
+        ).drop("flat_days")
     return calendar.horizons_of_cut(_fits(train, fill), settings.horizons, settings)
 
 

@@ -1,7 +1,7 @@
 """Price panels derived from the star schema.
 
 A panel holds one row per (series_id, date): the mean amount of the day in whole
-cents. The sum runs over decimals, so the result does not depend on row order,
+cents. The sum runs over whole cents, so the result does not depend on row order,
 and it is combined map-side: a series or day that holds a third of all rows
 reaches the shuffle as one partial row per task.
 """
@@ -23,12 +23,12 @@ def daily_panel(rows: DataFrame, series: Column, day: Column, amount: Column) ->
         rows.select(
             series.cast("string").alias("series_id"),
             F.to_date(day).alias("date"),
-            amount.cast("decimal(18,2)").alias("amount"),
+            F.floor(amount * 100 + 0.5).alias("cents"),
         )
         .groupBy("series_id", "date")
         .agg(
-            (F.sum("amount") * 100).cast("bigint").alias("cents"),
-            F.count("amount").alias("n"),
+            F.sum("cents").alias("cents"),
+            F.count("cents").alias("n"),
         )
         .select(
             "series_id",
