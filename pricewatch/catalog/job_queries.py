@@ -15,8 +15,11 @@ from pricewatch.operators import (
     fit_store,
     merge,
     metrics,
+    sarima,
+    seasonal_map,
     sinks,
 )
+from pricewatch.operators.regularise import segments
 from pricewatch.plans import evaluation, forecasting, report, risk
 from pricewatch.session import new_table_path
 from pricewatch.sources import panels
@@ -469,3 +472,42 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table).select("series_id", "date", "price", "batch_no", "row_no")
 
 
+
+
+# --- larger models ----------------------------------------------------------
+
+
+def sarima_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order search and 90-day path of every brand."""
+    segs = segments(panels.price_obs_brand(spark, sf_dir))
+    fits = sarima.fit_sarima(sarima.daily_logs(segs), F.lit(90))
+    path = F.posexplode("path").alias("pos", "yhat")
+    return fits.select(
+        "series_id", "p", "d", "q", "seasonal_p", "seasonal_d", "seasonal_q", "last_date", path
+    ).select(
+        "series_id", "p", "d", "q", "seasonal_p", "seasonal_d", "seasonal_q",
+        F.date_add("last_date", F.col("pos") + 1).alias("forecast_date"),
+        F.round("yhat", 2).alias("yhat"),
+    )
+
+
+def seasonal_map_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """90-day path and interval of every brand from the changepoint model."""
+    rows = forecasting.prepare(panels.price_obs_brand(spark, sf_dir), SETTINGS)
+    paths = seasonal_map.fit_seasonal_map(rows.withColumn("steps", F.lit(90)))
+    zipped = F.arrays_zip("yhat", "yhat_lower", "yhat_upper")
+    return paths.select("series_id", "last_date", F.posexplode(zipped).alias("pos", "v")).select(
+        "series_id",
+        F.date_add("last_date", F.col("pos") + 1).alias("forecast_date"),
+        *[F.round(F.col("v")[name], 2).alias(name) for name in ("yhat", "yhat_lower", "yhat_upper")],
+    )
+
+
+def forecast_operational_searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecasting.forecast_operational_searched(panels.price_obs(spark, sf_dir), SETTINGS)
+
+
+def backtest_searched_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = panels.price_obs(spark, sf_dir)
+    pairs = metrics.align_by_date(forecasting.forecast_backtest_searched(obs, SETTINGS), obs)
+    return _rounded_metrics(metrics.evaluate(pairs, ("series_id", "horizon")))

@@ -76,6 +76,10 @@ def queries() -> dict[str, Query]:
         "fit_invalidate": jobs.fit_invalidate,
         "export_csv": jobs.export_csv,
         "stream_upsert": jobs.stream_upsert,
+        "sarima_forecast": jobs.sarima_forecast,
+        "seasonal_map_forecast": jobs.seasonal_map_forecast,
+        "forecast_operational_searched": jobs.forecast_operational_searched,
+        "backtest_searched_metrics": jobs.backtest_searched_metrics,
     }
 
 

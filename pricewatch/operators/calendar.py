@@ -48,7 +48,7 @@ def horizons_of_cut(
     items = tuple(horizons)
     rows = literals.horizon_rows if isinstance(items[0], Horizon) else literals.window_rows
     mine = F.filter(rows(items, settings), lambda h: h["train_end"] == F.col("train_end"))
-    other = [c for c in fits.columns if c != "train_end"]
+    other = [F.col(c) for c in fits.columns if c != "train_end"]
     return fits.withColumn("_h", F.explode(mine)).select(*other, "_h.*")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pricewatch.config import DEFAULT, Settings
 from pricewatch.functions import literals
-from pricewatch.operators import calendar, closed_form, flat_tail
+from pricewatch.operators import calendar, closed_form, flat_tail, sarima, seasonal_map
 from pricewatch.operators.regularise import (
     Filling,
     explode_days,
@@ -69,10 +69,8 @@ def _fits(segs: DataFrame, fill: Filling) -> DataFrame:
     return closed_form.fit_hybrid(days, CUT_KEYS)
 
 
-def operational_fits(
-    obs: DataFrame, settings: Settings = DEFAULT, trim: bool = True
-) -> DataFrame:
-    """Blend parameters per series and horizon, after trimming flat tails."""
+def _operational_train(obs: DataFrame, settings: Settings, trim: bool = True) -> DataFrame:
+    """Segments with tails, once per cut-off; ``cut_last`` is the last training day."""
     fill = filling(settings)
     cuts = literals.dates(h.train_end for h in settings.horizons)
     segs = segments(obs, fill=fill)
@@ -88,15 +86,27 @@ def operational_fits(
         train = train.withColumn(
             "cut_last", F.date_sub("cut_last", flat_tail.trimmed_days(found, n_rows))
         ).drop("flat_days")
-    return calendar.horizons_of_cut(_fits(train, fill), settings.horizons, settings)
+    return train
 
 
-def backtest_fits(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Blend parameters per series and backtest window; flat tails are kept."""
+def _backtest_train(obs: DataFrame, settings: Settings) -> DataFrame:
     fill = filling(settings)
     cuts = literals.dates(w.train_end for w in settings.eval_windows)
-    train = _with_cuts(with_tails(segments(obs, fill=fill), fill=fill), cuts)
-    return calendar.horizons_of_cut(_fits(train, fill), settings.eval_windows, settings)
+    return _with_cuts(with_tails(segments(obs, fill=fill), fill=fill), cuts)
+
+
+def operational_fits(
+    obs: DataFrame, settings: Settings = DEFAULT, trim: bool = True
+) -> DataFrame:
+    """Blend parameters per series and horizon, after trimming flat tails."""
+    fits = _fits(_operational_train(obs, settings, trim), filling(settings))
+    return calendar.horizons_of_cut(fits, settings.horizons, settings)
+
+
+def backtest_fits(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Blend parameters per series and backtest window; flat tails are kept."""
+    fits = _fits(_backtest_train(obs, settings), filling(settings))
+    return calendar.horizons_of_cut(fits, settings.eval_windows, settings)
 
 
 def blend(arima: Column, seasonal: Column) -> Column:
@@ -153,3 +163,58 @@ def forecast_backtest(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame
     ahead = F.datediff(day, "last_date")
     known = (ahead >= 1) & (ahead <= F.col("steps"))
     return _select(rows, "hybrid", F.when(known, ahead), day)
+
+
+def _searched_paths(train: DataFrame, fill: Filling, steps: int) -> DataFrame:
+    """Price paths of the order-searched and the changepoint model per series and cut-off."""
+    last = F.col("cut_last")
+    arima = sarima.fit_sarima(
+        sarima.daily_logs(train, CUT_KEYS, fill, last), F.lit(steps), CUT_KEYS
+    ).select(*CUT_KEYS, F.col("path").alias("arima_path"))
+    rows = explode_days(train, last=last).select(
+        *CUT_KEYS,
+        F.col("day").alias("date"),
+        price_on(F.col("day"), fill).alias("price"),
+        F.lit(steps).alias("steps"),
+    )
+    seasonal = seasonal_map.fit_seasonal_map(rows, CUT_KEYS)
+    return arima.join(seasonal, list(CUT_KEYS))
+
+
+def _stepped(paths: DataFrame, ahead: Column) -> DataFrame:
+    """One row per horizon and step; ``ahead`` is the step of the models behind it."""
+
+    def blended(name: str) -> Column:
+        at = F.col("_ahead") - 1
+        return blend(F.get(F.col("arima_path"), at), F.get(F.col(name), at)).alias(name)
+
+    return calendar.with_steps(paths).withColumn("_ahead", ahead).select(
+        "series_id",
+        "horizon",
+        F.lit("hybrid").alias("model"),
+        F.col("step").cast("int").alias("step"),
+        calendar.label(F.col("step")).alias("forecast_date"),
+        *[blended(name) for name in ("yhat", "yhat_lower", "yhat_upper")],
+        F.datediff("train_end", "last_date").alias("origin_gap_days"),
+    )
+
+
+def forecast_operational_searched(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """:func:`forecast_operational` with searched orders and changepoints.
+
+    The same rows, labels and weights; only the two models are the larger ones.
+    """
+    train = _operational_train(obs, settings)
+    paths = _searched_paths(train, filling(settings), max(h.days for h in settings.horizons))
+    rows = calendar.horizons_of_cut(paths, settings.horizons, settings)
+    return _stepped(rows, F.col("step"))
+
+
+def forecast_backtest_searched(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """:func:`forecast_backtest` with searched orders and changepoints."""
+    train = _backtest_train(obs, settings)
+    paths = _searched_paths(train, filling(settings), max(w.days for w in settings.eval_windows))
+    rows = calendar.horizons_of_cut(paths, settings.eval_windows, settings)
+    ahead = F.datediff(calendar.label(F.col("step")), "last_date")
+    known = (ahead >= 1) & (ahead <= F.col("steps"))
+    return _stepped(rows, F.when(known, ahead)).drop("origin_gap_days")
