@@ -93,15 +93,13 @@ def fit_and_forecast(days: np.ndarray, y: np.ndarray, steps: int, log: bool) ->
     changes = slice(2, n_trend)
     target = y / scale
     if log:
-        # Seasonality multiplies the trend: alternate between the two factors.
-        share = np.zeros(len(y))
-        for _ in range(4):
-            beta, noise = _solve((1 + share)[:, None] * trend, target, scales[:n_trend], changes)
-            level = trend @ beta
-            gamma, noise = _solve(
-                level[:, None] * season, target - level, scales[n_trend:], slice(0, 0)
-            )
-            share = season @ gamma
+        # Seasonality multiplies the trend: solve for both around the last estimate.
+        share, level = np.zeros(len(y)), np.full(len(y), target.mean())
+        for _ in range(5):
+            x = np.hstack([(1 + share)[:, None] * trend, level[:, None] * season])
+            both, noise = _solve(x, target + level * share, scales, changes)
+            beta, gamma = both[:n_trend], both[n_trend:]
+            level, share = trend @ beta, season @ gamma
         centre = (trend_next @ beta) * (1 + season_next @ gamma)
     else:
         beta, noise = _solve(np.hstack([trend, season]), target, scales, changes)
