@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from pricewatch.operators.flat_tail import TAIL_ROWS, trim_cells
 from pricewatch.operators.regularise import (
     FORECAST,
     KEYS,
@@ -45,10 +46,12 @@ def lagged_days(
     keys: Sequence[str] = KEYS,
     fill: Filling = FORECAST,
     last: Column | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Daily rows up to ``last`` with the prices one and two days earlier.
 
-    ``segs`` are segments with tails (``regularise.with_tails``).
+    ``segs`` are segments with tails (``regularise.with_tails``); ``carry``
+    names more of their columns to keep.
     """
     day = F.col("day")
     return explode_days(segs, last=last).select(
@@ -57,6 +60,7 @@ def lagged_days(
         price_on(day, fill).alias("price"),
         price_before(day, 1, fill).alias("price_1"),
         price_before(day, 2, fill).alias("price_2"),
+        *carry,
     )
 
 
@@ -145,9 +149,11 @@ def _trend_moments(target: Column) -> dict[str, Column]:
     }
 
 
-def _cells(rows: DataFrame, keys: Sequence[str], aggregates: dict[str, Column]) -> DataFrame:
+def _cells(
+    rows: DataFrame, keys: Sequence[str], aggregates: dict[str, Column], *extra: str
+) -> DataFrame:
     return rows.groupBy(
-        *keys, F.month("date").alias("month"), F.dayofweek("date").alias("weekday")
+        *keys, F.month("date").alias("month"), F.dayofweek("date").alias("weekday"), *extra
     ).agg(*[value.alias(name) for name, value in aggregates.items()])
 
 
@@ -247,11 +253,22 @@ def fit_seasonal_variants(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFr
     return fold_seasons(_cells(both, keyed, _trend_moments(target)), keyed)
 
 
-def fit_hybrid(days: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Both models of the blend from the same lagged days, in one aggregation."""
+def fit_hybrid(
+    days: DataFrame, keys: Sequence[str] = KEYS, last: Column | None = None
+) -> DataFrame:
+    """Both models of the blend from the same lagged days, in one aggregation.
+
+    With ``last``, the last training day, flat tails are trimmed: the few days
+    that may be dropped stay cells of their own until the tail is known.
+    """
     aggregates = {**_trend_moments(F.col("price")), **_ari_sums()}
     rows = _with_differences(days.filter(F.col("price").isNotNull()))
-    return fold_seasons(_cells(rows, keys, aggregates), keys, ari=True)
+    if last is None:
+        return fold_seasons(_cells(rows, keys, aggregates), keys, ari=True)
+    rn = F.datediff(last, "date") + 1
+    rows = rows.withColumn("tail_rn", F.when(rn <= TAIL_ROWS, rn).otherwise(0))
+    cells = trim_cells(_cells(rows, keys, aggregates, "tail_rn"), keys)
+    return fold_seasons(cells, keys, ari=True)
 
 
 def seasonal_part(step: Column) -> Column:

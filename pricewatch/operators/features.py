@@ -1,9 +1,8 @@
 """Risk features of the latest day of each series.
 
 Every feature is an aggregate over the days of the calendar, conditional on
-``rn`` (1 = last day), so there is no sliding frame and no window over days.
-Features of the last year explode only the last year; the few statistics of the
-whole history are a second, narrow aggregation over the same exchange.
+``rn`` (1 = last day): one hash aggregation yields all of them, with no sliding
+frame, no window over days and no join.
 """
 
 from __future__ import annotations
@@ -166,9 +165,9 @@ def seasonal_baseline() -> Column:
     return F.when(F.col("season_n") >= SEASON_MIN_ROWS, F.col("season_avg"))
 
 
-def _days(segs: DataFrame, keys: Sequence[str], first: Column | None = None) -> DataFrame:
+def _days(segs: DataFrame, keys: Sequence[str]) -> DataFrame:
     day = F.col("day")
-    return explode_days(segs, first=first).select(
+    return explode_days(segs).select(
         *keys,
         day.alias("date"),
         price_on(day, RISK).alias("price"),
@@ -198,34 +197,20 @@ def risk_features(
     Zero prices count as prices here and gaps of any length are interpolated,
     unlike in the forecast path.
     """
-    segs = segments(obs, keys, RISK)
-    longest = max(
-        settings.average_days,
-        settings.vol_recent_days,
-        settings.vol_baseline_days,
-        VOL_FALLBACK_DAYS,
-        *_trend_windows(settings.trend_days),
-    )
-    tail = _aggregate(
-        _days(segs, keys, first=F.date_sub("last_date", longest - 1)),
+    rows = _aggregate(
+        _days(segments(obs, keys, RISK), keys),
         keys,
         {
             **average_aggregates(settings.average_days),
+            **history_aggregates(),
             **volatility_aggregates(settings.vol_recent_days, settings.vol_baseline_days),
             **trend_aggregates(settings.trend_days),
-        },
-    )
-    history = _aggregate(
-        _days(segs, keys),
-        keys,
-        {
-            **history_aggregates(),
             **season_aggregates(F.col("last_date")),
             "last_day": F.max("last_date"),
         },
     )
     found = trend(settings.trend_days)
-    return history.join(tail, list(keys)).select(
+    return rows.select(
         *keys,
         F.col("last_day").alias("last_date"),
         moving_average(settings.average_days).alias("moving_avg"),

@@ -56,6 +56,32 @@ def trimmed_days(flat_days: Column, n_rows: Column) -> Column:
     return F.when(few, flat_days).otherwise(F.lit(0))
 
 
+def trim_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Drops the flat tail of series that were reduced to cells.
+
+    ``cells`` have the size ``n`` and mean ``z_mean`` of each cell and
+    ``tail_rn``: the row number from the end for the last 59 rows, each a cell
+    of its own, and 0 for the cells of all older rows.
+    """
+    series = Window.partitionBy(*keys).orderBy("tail_rn")
+    running = series.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rn, n_rows = F.col("tail_rn"), F.col("_n_rows")
+    ends_tail = (
+        (F.col("_sd") > FLAT_STD) & (rn >= 2) & (rn <= F.least(F.lit(MAX_TAIL), n_rows) - 1)
+    )
+    return (
+        cells.select(
+            "*",
+            F.stddev_samp(F.when(rn > 0, F.col("z_mean"))).over(running).alias("_sd"),
+            F.sum("n").over(whole).alias("_n_rows"),
+        )
+        .withColumn("_flat", F.coalesce(F.min(F.when(ends_tail, rn - 1)).over(whole), F.lit(0)))
+        .filter((rn == 0) | (rn > trimmed_days(F.col("_flat"), n_rows)))
+        .select(*cells.columns)
+    )
+
+
 def _numbered(train: DataFrame, keys: Sequence[str]) -> DataFrame:
     backwards = Window.partitionBy(*keys).orderBy(F.desc("date"))
     whole = backwards.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

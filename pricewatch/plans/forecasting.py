@@ -63,49 +63,50 @@ def flat_days_by_cut(segs: DataFrame, cuts: Column, fill: Filling) -> DataFrame:
     )
 
 
-def _fits(segs: DataFrame, fill: Filling) -> DataFrame:
+def _fits(segs: DataFrame, fill: Filling, trim: bool = False) -> DataFrame:
     """Blend parameters of segments with ``train_end`` and ``cut_last``."""
-    days = closed_form.lagged_days(segs, CUT_KEYS, fill, last=F.col("cut_last"))
-    return closed_form.fit_hybrid(days, CUT_KEYS)
+    last = F.col("cut_last")
+    if not trim:
+        days = closed_form.lagged_days(segs, CUT_KEYS, fill, last=last)
+        return closed_form.fit_hybrid(days, CUT_KEYS)
+    days = closed_form.lagged_days(segs, CUT_KEYS, fill, last=last, carry=("cut_last",))
+    return closed_form.fit_hybrid(days, CUT_KEYS, last=last)
 
 
-def _operational_train(obs: DataFrame, settings: Settings, trim: bool = True) -> DataFrame:
+def _cut_segments(obs: DataFrame, items, settings: Settings) -> DataFrame:
     """Segments with tails, once per cut-off; ``cut_last`` is the last training day."""
     fill = filling(settings)
+    cuts = literals.dates(item.train_end for item in items)
+    return _with_cuts(with_tails(segments(obs, fill=fill), fill=fill), cuts)
+
+
+def _trimmed_segments(obs: DataFrame, settings: Settings) -> DataFrame:
+    """:func:`_cut_segments` of the operational horizons, ended before the flat tail."""
+    fill = filling(settings)
     cuts = literals.dates(h.train_end for h in settings.horizons)
     segs = segments(obs, fill=fill)
-    train = with_tails(segs, fill=fill)
-    if trim:
-        # Joined before the cut-offs multiply the rows: the segments are still
-        # sorted by series here.
-        train = train.join(flat_days_by_cut(segs, cuts, fill), "series_id", "left")
-    train = _with_cuts(train, cuts)
-    if trim:
-        n_rows = F.datediff("cut_last", "first_date") + 1
-        found = F.coalesce(F.col("flat_days")[F.col("train_end")], F.lit(0))
-        train = train.withColumn(
-            "cut_last", F.date_sub("cut_last", flat_tail.trimmed_days(found, n_rows))
-        ).drop("flat_days")
-    return train
-
-
-def _backtest_train(obs: DataFrame, settings: Settings) -> DataFrame:
-    fill = filling(settings)
-    cuts = literals.dates(w.train_end for w in settings.eval_windows)
-    return _with_cuts(with_tails(segments(obs, fill=fill), fill=fill), cuts)
+    # Joined before the cut-offs multiply the rows: the segments are still
+    # sorted by series here.
+    flat = flat_days_by_cut(segs, cuts, fill)
+    train = _with_cuts(with_tails(segs, fill=fill).join(flat, "series_id", "left"), cuts)
+    n_rows = F.datediff("cut_last", "first_date") + 1
+    found = F.coalesce(F.col("flat_days")[F.col("train_end")], F.lit(0))
+    return train.withColumn(
+        "cut_last", F.date_sub("cut_last", flat_tail.trimmed_days(found, n_rows))
+    ).drop("flat_days")
 
 
 def operational_fits(
     obs: DataFrame, settings: Settings = DEFAULT, trim: bool = True
 ) -> DataFrame:
     """Blend parameters per series and horizon, after trimming flat tails."""
-    fits = _fits(_operational_train(obs, settings, trim), filling(settings))
+    fits = _fits(_cut_segments(obs, settings.horizons, settings), filling(settings), trim)
     return calendar.horizons_of_cut(fits, settings.horizons, settings)
 
 
 def backtest_fits(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Blend parameters per series and backtest window; flat tails are kept."""
-    fits = _fits(_backtest_train(obs, settings), filling(settings))
+    fits = _fits(_cut_segments(obs, settings.eval_windows, settings), filling(settings))
     return calendar.horizons_of_cut(fits, settings.eval_windows, settings)
 
 
@@ -204,7 +205,7 @@ def forecast_operational_searched(obs: DataFrame, settings: Settings = DEFAULT)
 
     The same rows, labels and weights; only the two models are the larger ones.
     """
-    train = _operational_train(obs, settings)
+    train = _trimmed_segments(obs, settings)
     paths = _searched_paths(train, filling(settings), max(h.days for h in settings.horizons))
     rows = calendar.horizons_of_cut(paths, settings.horizons, settings)
     return _stepped(rows, F.col("step"))
@@ -212,7 +213,7 @@ def forecast_operational_searched(obs: DataFrame, settings: Settings = DEFAULT)
 
 def forecast_backtest_searched(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """:func:`forecast_backtest` with searched orders and changepoints."""
-    train = _backtest_train(obs, settings)
+    train = _cut_segments(obs, settings.eval_windows, settings)
     paths = _searched_paths(train, filling(settings), max(w.days for w in settings.eval_windows))
     rows = calendar.horizons_of_cut(paths, settings.eval_windows, settings)
     ahead = F.datediff(calendar.label(F.col("step")), "last_date")
