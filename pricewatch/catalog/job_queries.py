@@ -389,7 +389,7 @@ def forecast_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = panels.price_obs(spark, sf_dir).repartition("series_id")
+    obs = forecasting.place(panels.price_obs(spark, sf_dir))
     lines = report.timeline(
         report.chart_prices(obs, SETTINGS.chart_range),
         forecasting.forecast_backtest(obs, SETTINGS),
@@ -399,7 +399,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forecast_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = panels.price_obs(spark, sf_dir).repartition("series_id")
+    obs = forecasting.place(panels.price_obs(spark, sf_dir))
     return report.forecast_summary(forecasting.forecast_backtest(obs, SETTINGS), obs)
 
 

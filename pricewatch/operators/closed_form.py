@@ -253,21 +253,57 @@ def fit_seasonal_variants(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFr
     return fold_seasons(_cells(both, keyed, _trend_moments(target)), keyed)
 
 
+def _centred_sums(at: Column) -> dict[str, Column]:
+    """Plain sums around ``base_price`` and the day ``at``, both constant per series."""
+    t = F.datediff("date", at).cast("double")
+    z = F.col("price") - F.col("base_price")
+    return {
+        "n": F.count("price"),
+        "_t": F.sum(t),
+        "_z": F.sum(z),
+        "_tt": F.sum(t * t),
+        "_zz": F.sum(z * z),
+        "_tz": F.sum(t * z),
+        "_base": F.first("base_price"),
+    }
+
+
+def _moments_of_sums(cells: DataFrame, at: Column) -> DataFrame:
+    """The columns of :func:`_trend_moments` from centred sums."""
+    n, t, z = F.col("n"), F.col("_t"), F.col("_z")
+    return cells.withColumns(
+        {
+            "t_mean": t / n + F.datediff(at, F.lit(ORIGIN)),
+            "z_mean": z / n + F.col("_base"),
+            "t_dev": F.col("_tt") - t * t / n,
+            "z_dev": F.col("_zz") - z * z / n,
+            "tz_dev": F.col("_tz") - t * z / n,
+        }
+    ).drop("_t", "_z", "_tt", "_zz", "_tz", "_base")
+
+
 def fit_hybrid(
-    days: DataFrame, keys: Sequence[str] = KEYS, last: Column | None = None
+    days: DataFrame, keys: Sequence[str], at: Column, last: Column | None = None
 ) -> DataFrame:
     """Both models of the blend from the same lagged days, in one aggregation.
 
-    With ``last``, the last training day, flat tails are trimmed: the few days
-    that may be dropped stay cells of their own until the tail is known.
+    ``days`` carry ``base_price``; ``at`` is a day constant per group. With
+    ``last``, the last training day, flat tails are trimmed: the few days that
+    may be dropped stay cells of their own until the tail is known.
+
+    This is the widest loop of the engine, so its sums are plain ones; centred
+    on a price and a day of the series they keep their precision.
     """
-    aggregates = {**_trend_moments(F.col("price")), **_ari_sums()}
+    aggregates = {**_centred_sums(at), **_ari_sums()}
     rows = _with_differences(days.filter(F.col("price").isNotNull()))
-    if last is None:
-        return fold_seasons(_cells(rows, keys, aggregates), keys, ari=True)
-    rn = F.datediff(last, "date") + 1
-    rows = rows.withColumn("tail_rn", F.when(rn <= TAIL_ROWS, rn).otherwise(0))
-    cells = trim_cells(_cells(rows, keys, aggregates, "tail_rn"), keys)
+    extra = ()
+    if last is not None:
+        rn = F.datediff(last, "date") + 1
+        rows = rows.withColumn("tail_rn", F.when(rn <= TAIL_ROWS, rn).otherwise(0))
+        extra = ("tail_rn",)
+    cells = _moments_of_sums(_cells(rows, keys, aggregates, *extra), at)
+    if last is not None:
+        cells = trim_cells(cells, keys)
     return fold_seasons(cells, keys, ari=True)
 
 

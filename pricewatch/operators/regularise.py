@@ -76,7 +76,8 @@ def daily_calendar(obs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def segments(obs: DataFrame, keys: Sequence[str] = KEYS, fill: Filling = FORECAST) -> DataFrame:
     """One row per known price: ``date``, ``price``, the next known date and price, the
-    covered days ``seg_start .. seg_end`` and the first and last date of the series.
+    covered days ``seg_start .. seg_end``, the first and last date of the series and
+    its first known price, ``base_price``.
 
     A series without any known price keeps one row with a null price.
     """
@@ -95,6 +96,7 @@ def segments(obs: DataFrame, keys: Sequence[str] = KEYS, fill: Filling = FORECAS
             F.first("date").over(whole).alias("first_date"),
             F.last("date").over(whole).alias("last_date"),
             F.count("price").over(whole).alias("n_known"),
+            F.first("price", ignorenulls=True).over(whole).alias("base_price"),
             F.lead("date").over(ordered).alias("twin_date"),
         )
         .filter(
@@ -106,6 +108,7 @@ def segments(obs: DataFrame, keys: Sequence[str] = KEYS, fill: Filling = FORECAS
             "price",
             "first_date",
             "last_date",
+            "base_price",
             F.lag("date").over(ordered).alias("prev_date"),
             F.lead("date").over(ordered).alias("next_date"),
             F.lead("price").over(ordered).alias("next_price"),

@@ -29,6 +29,19 @@ def filling(settings: Settings = DEFAULT) -> Filling:
     return Filling(limit=settings.interpolation_limit)
 
 
+def place(obs: DataFrame) -> DataFrame:
+    """The panel in partitions by series, for plans that read it more than once.
+
+    Rows without a series are no rows of any series. Dropping them here keeps
+    the filter that joins would infer from making the two reads differ.
+    """
+    return (
+        obs.filter(F.col("series_id").isNotNull())
+        .select("series_id", "date", "price")
+        .repartition("series_id")
+    )
+
+
 def prepare(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Daily series for the forecast path: zero is missing, gaps filled up to the limit."""
     return regularise(obs, fill=filling(settings)).select("series_id", "date", "price")
@@ -66,11 +79,10 @@ def flat_days_by_cut(segs: DataFrame, cuts: Column, fill: Filling) -> DataFrame:
 def _fits(segs: DataFrame, fill: Filling, trim: bool = False) -> DataFrame:
     """Blend parameters of segments with ``train_end`` and ``cut_last``."""
     last = F.col("cut_last")
-    if not trim:
-        days = closed_form.lagged_days(segs, CUT_KEYS, fill, last=last)
-        return closed_form.fit_hybrid(days, CUT_KEYS)
-    days = closed_form.lagged_days(segs, CUT_KEYS, fill, last=last, carry=("cut_last",))
-    return closed_form.fit_hybrid(days, CUT_KEYS, last=last)
+    days = closed_form.lagged_days(
+        segs, CUT_KEYS, fill, last=last, carry=("base_price", "cut_last")
+    )
+    return closed_form.fit_hybrid(days, CUT_KEYS, F.col("train_end"), last if trim else None)
 
 
 def _cut_segments(obs: DataFrame, items, settings: Settings) -> DataFrame:

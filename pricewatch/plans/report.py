@@ -115,7 +115,7 @@ def latest_risk(history: DataFrame) -> DataFrame:
 
 def dashboard(obs: DataFrame, settings: Settings = DEFAULT) -> dict[str, DataFrame]:
     """Every frame of the dashboard, from one placed panel. All are lazy."""
-    placed = obs.select("series_id", "date", "price").repartition("series_id")
+    placed = forecasting.place(obs)
     prices = chart_prices(placed, settings.chart_range)
     backtest = forecasting.forecast_backtest(placed, settings)
     operational = forecasting.forecast_operational(placed, settings)

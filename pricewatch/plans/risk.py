@@ -100,7 +100,7 @@ def assess(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     The panel is placed by series once; features and forecasts read that same
     exchange, and their join needs no other.
     """
-    placed = obs.select("series_id", "date", "price").repartition("series_id")
+    placed = forecasting.place(obs)
     return score(
         with_forecast(
             historical_features(placed, settings),
