@@ -448,7 +448,7 @@ def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "export")
     sinks.export_long_forecast(forecast, path)
     return (
-        spark.read.schema("date string, long_term_forecast double, series_id string")
+        spark.read.schema("series_id string, date string, long_term_forecast double")
         .option("header", True)
         .csv(path)
         .select("series_id", "date", F.round("long_term_forecast", 2).alias("long_term_forecast"))

@@ -115,23 +115,21 @@ def upsert_price_table(batch: DataFrame, path: str) -> None:
     )
 
 
-def export_long_forecast(forecast: DataFrame, path: str) -> None:
-    """CSV with ``date,long_term_forecast``, in date order, one folder per series.
+def export_long_forecast(forecast: DataFrame, path: str, series_id: str | None = None) -> None:
+    """CSV of the long forecast in date order.
 
-    Each series becomes its own file in its own folder; nothing is funnelled
-    through a single task.
+    For one series: a single file ``date,long_term_forecast`` with one row per
+    step of the horizon. For all: files that keep each series together, with a
+    leading ``series_id``; their number follows the partitions, not the series.
     """
-    (
-        forecast.filter(F.col("horizon") == "long")
-        .select(
-            "series_id",
-            F.date_format("forecast_date", "yyyy-MM-dd").alias("date"),
-            F.col("yhat").alias("long_term_forecast"),
-        )
-        .repartition("series_id")
-        .sortWithinPartitions("series_id", "date")
-        .write.mode("overwrite")
-        .partitionBy("series_id")
-        .option("header", True)
-        .csv(path)
+    rows = forecast.filter(F.col("horizon") == "long").select(
+        "series_id",
+        F.date_format("forecast_date", "yyyy-MM-dd").alias("date"),
+        F.col("yhat").alias("long_term_forecast"),
     )
+    if series_id is None:
+        rows = rows.repartition("series_id").sortWithinPartitions("series_id", "date")
+    else:
+        one = rows.filter(F.col("series_id") == series_id).drop("series_id")
+        rows = one.repartition(1).sortWithinPartitions("date")
+    rows.write.mode("overwrite").option("header", True).csv(path)

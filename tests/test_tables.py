@@ -73,10 +73,14 @@ def test_export(spark, tmp_path):
         [("s", "long", DAY + dt.timedelta(days=i), float(i)) for i in (2, 0, 1)] + [("s", "mid", DAY, 9.0)],
         FORECAST,
     )
-    sinks.export_long_forecast(df, path)
-    (file,) = (tmp_path / "csv" / "series_id=s").glob("*.csv")
+    sinks.export_long_forecast(df, path, series_id="s")
+    (file,) = (tmp_path / "csv").glob("*.csv")
     assert file.read_text().split() == [
         "date,long_term_forecast", "2022-01-01,0.0", "2022-01-02,1.0", "2022-01-03,2.0"]
+    sinks.export_long_forecast(df, path)
+    (file,) = [p for p in (tmp_path / "csv").glob("*.csv") if len(p.read_text().split()) > 1]
+    assert file.read_text().split() == [
+        "series_id,date,long_term_forecast", "s,2022-01-01,0.0", "s,2022-01-02,1.0", "s,2022-01-03,2.0"]
 
 
 SETTINGS = config.Settings(horizons=(config.Horizon("short", 5, dt.date(2022, 1, 31)),))
