@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricewatch.catalog.fixture import SETTINGS
 from pricewatch.functions import numeric, scoring
+from pricewatch.functions.cleaning import parse_day_first
 from pricewatch.operators import (
     calendar,
     clean,
@@ -84,9 +85,7 @@ def _yearly_frames(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
         F.lit("all").alias("series_id"),
         "file_no",
         "row_no",
-        F.coalesce(
-            F.try_to_date("tanggal", "dd/MM/yyyy"), F.try_to_date("tanggal", "yyyy-MM-dd")
-        ).alias("date"),
+        parse_day_first(F.col("tanggal")).alias("date"),
         "harga",
     )
     old = raw.filter(F.col("file_no") != 1998).withColumnRenamed("harga", "Price (Rp)")

@@ -26,9 +26,11 @@ def parse_price(text: Column) -> Column:
 
 
 def parse_day_first(text: Column) -> Column:
-    """dd/MM/yyyy, else ISO yyyy-MM-dd; unparsable -> null."""
+    """dd/MM/yyyy, else ISO yyyy-MM-dd; unparsable -> null.
+
+    The separator tells the two apart, so no row pays for a failed attempt.
+    """
     cell = F.trim(text)
-    return F.coalesce(
-        F.try_to_date(cell, "d/M/yyyy"),
-        F.try_to_date(cell, "yyyy-MM-dd"),
+    return F.when(cell.contains("/"), F.try_to_date(cell, "d/M/yyyy")).otherwise(
+        F.try_to_date(cell, "yyyy-MM-dd")
     )
