@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewatch.llm import chat, sharding
+from pricewatch.llm import chat, piece_bpe, sharding
 from pricewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"), shards=16)
     return placed.select(
@@ -30,6 +34,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op7_pieces": op7_pieces,
         "op8_sharding": op8_sharding,
         "op9_chat": op9_chat,
     }
