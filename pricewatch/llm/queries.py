@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewatch.llm import chat, piece_bpe, sharding
+from pricewatch.llm import chat, packing, piece_bpe, sharding
 from pricewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +32,16 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_turns(rows.unionByName(probe)))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=4096)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op7_pieces": op7_pieces,
         "op8_sharding": op8_sharding,
         "op9_chat": op9_chat,
+        "op10_packing": op10_packing,
     }
 
 
