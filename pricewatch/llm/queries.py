@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewatch.llm import chat, packing, piece_bpe, sharding
+from pricewatch.llm import chat, packing, piece_bpe, sharding, simhash
 from pricewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"), words_per_shingle=3, distance=3)
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_simhash": op1_simhash,
         "op7_pieces": op7_pieces,
         "op8_sharding": op8_sharding,
         "op9_chat": op9_chat,
