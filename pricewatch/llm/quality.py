@@ -28,9 +28,7 @@ from pyspark.sql import functions as F
 from pricewatch.llm.common import stored
 
 SPACE = r"[\x20\x09-\x0D]+"
-_SPACES = " \t\n\x0b\x0c\r"
-_SYMBOLS = "#*$%&|<>"
-_UPPER = "".join(map(chr, range(ord("A"), ord("Z") + 1)))
+_SYMBOLS, _SHOUT, _UPPER = "#*$%&|<>", "!", "A-Z"
 
 #: Cutoffs of every rule, lenient to strict; a document above the cutoff is rejected.
 GRIDS: dict[str, tuple[float, ...]] = {
@@ -43,9 +41,9 @@ GRIDS: dict[str, tuple[float, ...]] = {
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _removed(text: Column, characters: str) -> Column:
-    """How many of these characters the text holds."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+def _held(text: Column | str, characters: str) -> Column:
+    """How many characters of this class (as in a regular expression) the text holds."""
+    return F.length(F.regexp_replace(text, F.lit(f"[^{characters}]+"), F.lit(""))).cast("long")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -56,20 +54,23 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the base counts, the rule scores and ``base_failed`` to every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    split = docs.withColumns({"_words": F.array_remove(F.split(text, SPACE), ""), "_lines": lines})
+    marks = F.regexp_replace(text, F.lit(f"[^{_SYMBOLS}{_SHOUT}{_UPPER}]+"), F.lit(""))
+    split = docs.withColumns(
+        {"_words": F.array_remove(F.split(text, SPACE), ""), "_lines": lines, "_marks": marks}
+    )
     counted = split.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": (F.length(text) - _removed(text, _SPACES)).cast("long"),
-            "n_symbols": _removed(text, _SYMBOLS),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": _held("_marks", _SYMBOLS),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "_n_lines": F.size("_lines"),
-            "_shouts": _removed(text, "!"),
-            "_upper": _removed(text, _UPPER),
+            "_shouts": _held("_marks", _SHOUT),
+            "_upper": _held("_marks", _UPPER),
             "_windows": _window_texts(F.col("_words")),
         }
     )
-    return _with_repeats(counted).drop("_words", "_lines").withColumns(
+    return _with_repeats(counted).drop("_words", "_lines", "_marks").withColumns(
         {
             "base_failed": (F.col("n_words") < 50)
             | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
