@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewatch.llm import chat, packing, piece_bpe, quality, sharding, simhash
+from pricewatch.llm import chat, language, oracles as sql, packing, piece_bpe, quality, sharding, simhash
 from pricewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(~language.held_out()))
+    return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op5_quality": op5_quality,
+        "op6_language": op6_language,
         "op7_pieces": op7_pieces,
         "op8_sharding": op8_sharding,
         "op9_chat": op9_chat,
@@ -56,4 +63,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op5_quality": sql.quality()}
