@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,3 +68,35 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str) -> tuple
         (spread["_seq"] - counts["_first"] + counts["_before"]).alias(rank),
     )
     return numbered, counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
+
+
+class WordCache:
+    """Results of a function of words, kept per process in two generations of bounded size.
+
+    A word found in the older generation moves to the younger one; when that is full it becomes the
+    older. Words longer than ``chars`` are kept for one look-up only, so memory is bounded.
+    """
+
+    def __init__(self, encode: Callable[[list], Iterable[Any]], words: int = 300_000, chars: int = 48) -> None:
+        self.encode, self.words, self.chars = encode, words, chars
+        self.young: dict[Any, Any] = {}
+        self.old: dict[Any, Any] = {}
+        self.long: list = []
+
+    def look_up(self, distinct: Iterable) -> dict:
+        """A table that holds every given word, valid until the next call."""
+        for word in self.long:
+            del self.young[word]
+        if len(self.young) > self.words:
+            self.young, self.old = {}, self.young
+        missing = []
+        for word in distinct:
+            if word not in self.young:
+                entry = self.old.get(word)
+                if entry is None:
+                    missing.append(word)
+                else:
+                    self.young[word] = entry
+        self.young.update(zip(missing, self.encode(missing)))
+        self.long = [w for w in missing if len(w) > self.chars]
+        return self.young

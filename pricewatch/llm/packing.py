@@ -19,7 +19,6 @@ texts of any length are encoded whole; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,39 +28,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewatch.llm.common import ranked, stored, tokenizer_file
-
-#: The vocabulary's splitter drops white space, so words between these characters encode alone.
-_WORD = re.compile(r"[^ \t\n\r]+")
-#: Number of words and longest word that a task's cache of encoded words keeps.
-CACHED_WORDS, CACHED_CHARS = 300_000, 48
+from pricewatch.llm.common import WordCache, ranked, stored, tokenizer_file
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _tokenise_batches(path: str, capacity: int, end_id: int):
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_CACHES: dict[str, WordCache] = {}
+
+
+def _cache(path: str) -> WordCache:
+    """Encoded words of a process: ids as little-endian 32-bit integers."""
+    if path not in _CACHES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+
+        def encode(words: list[bytes]) -> list[bytes]:
+            encoded = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+
+        _CACHES[path] = WordCache(encode)
+    return _CACHES[path]
+
+
+def _tokenise_batches(path: str, capacity: int, end_id: int):
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _cache(path)
         end = np.array([end_id], dtype="<u4").tobytes()
-        kept: dict[str, bytes] = {}
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                words = [_WORD.findall(t or "") for t in part.column("text").to_pylist()]
-                distinct = set().union(*words)
-                if len(kept) > CACHED_WORDS:
-                    kept = {}
-                missing = [w for w in distinct if w not in kept]
-                encoded = tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-                found = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(missing, encoded)}
-                kept.update((w, b) for w, b in found.items() if len(w) <= CACHED_CHARS)
-                long_words = {w: b for w, b in found.items() if len(w) > CACHED_CHARS}
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                # the vocabulary drops white space, so words between ASCII spaces encode alone
+                words = [(t or "").encode().split() for t in part.column("text").to_pylist()]
+                found = cache.look_up(set().union(*words))
                 rows = []
                 for doc, row in zip(part.column("doc_id").to_pylist(), words):
-                    ids = b"".join([kept[w] if w in kept else long_words[w] for w in row]) + end
+                    ids = b"".join([found[w] for w in row]) + end
                     total = len(ids) // 4
                     for start in range(0, total, capacity):
                         piece = ids[4 * start : 4 * (start + capacity)]

@@ -18,7 +18,6 @@ an empty one.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 
@@ -27,13 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewatch.llm.common import tokenizer_file
+from pricewatch.llm.common import WordCache, tokenizer_file
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NO_RANK = np.iinfo(np.int64).max
-#: Longest word and number of words that a task's cache keeps.
-CACHED_CHARS, CACHED_WORDS = 48, 200_000
 
 
 class PieceModel:
@@ -244,34 +241,29 @@ def load(path: str) -> PieceModel:
     return _LOADED[path]
 
 
-class _WordCache:
-    """Encoded words of a task: (number of ids, ids as text, decoded text)."""
+_CACHES: dict[str, WordCache] = {}
 
-    def __init__(self, model: PieceModel) -> None:
-        self.model, self.kept = model, {}
 
-    def look_up(self, texts: list[list[str]]) -> dict[str, tuple[int, str, str]]:
-        distinct = set().union(*texts) if texts else set()
-        if len(self.kept) > CACHED_WORDS:
-            self.kept = {}
-        missing = [w for w in distinct if w not in self.kept]
-        fresh = {}
-        for word, ids in zip(missing, self.model.encode_words(missing)):
-            entry = (len(ids), ",".join(map(str, ids)), self.model.plain(ids))
-            fresh[word] = entry
-            if len(word) <= CACHED_CHARS:
-                self.kept[word] = entry
-        return self.kept if not fresh else {w: fresh[w] if w in fresh else self.kept[w] for w in distinct}
+def _cache(path: str) -> WordCache:
+    """Encoded words of a process: (number of ids, ids as text, decoded text)."""
+    if path not in _CACHES:
+        model = load(path)
+        _CACHES[path] = WordCache(
+            lambda words: [
+                (len(ids), ",".join(map(str, ids)), model.plain(ids)) for ids in model.encode_words(words)
+            ]
+        )
+    return _CACHES[path]
 
 
 def _encode_batches(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _WordCache(load(path))
+        cache = _cache(path)
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
                 texts = [words_of(t or "") for t in part.column("text").to_pylist()]
-                found = cache.look_up(texts)
+                found = cache.look_up(set().union(*texts))
                 counts, ids_sha, text_sha = [], [], []
                 for words in texts:
                     entries = [found[w] for w in words]
@@ -280,7 +272,8 @@ def _encode_batches(path: str):
                     decoded = "".join([e[2] for e in entries])
                     text_sha.append(hashlib.sha256(decoded[1:].encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
+                    [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()),
+                     pa.array(text_sha, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
