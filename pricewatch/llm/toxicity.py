@@ -3,8 +3,11 @@
 Lexicon. Words of labelled texts form a trie whose nodes carry document counts per label; a node is
 a prefix of a word, or a whole word (its last letter followed by an end mark). A node becomes a term
 when its log-likelihood ratio passes a bound corrected for the number of nodes tested and its log
-odds are high. Nodes are tried from the root down; a term moves down while one child carries (nearly) all of
-it, so "idio" becomes the whole word "idiot", while a stem with many endings stays a stem.
+odds are high. The strongest node of every path is taken, the deepest of equals, so a term is a
+whole word where all its uses are that word, and a stem where it has many endings. Near copies
+would count a text's chance words many times; texts of one label that share a minimum hash of their
+words therefore count as one, and a term that is not far beyond chance must explain texts that no
+stronger term explains.
 
 Matching. The trie is intersected with the Levenshtein automaton (insert, delete, substitute,
 transpose) of the text's word: a state is a set of (trie node, edits), and transitions are made
@@ -276,24 +279,60 @@ def choose_terms(
 ) -> list[str]:
     """Terms of the trie, strongest first."""
     bound = 2 * math.log(max(1, len(toxic)) / 0.05)
-    children: dict[str, list[str]] = {}
-    for node in toxic:
-        children.setdefault(node[:-1], []).append(node)
-    chosen: dict[str, float] = {}
-    for node in sorted(toxic, key=lambda n: (len(n), n)):
-        if any(node[:n] in chosen for n in range(SHORTEST, len(node))):
-            continue
-        if _log_odds(toxic[node], clean.get(node, 0), n_toxic, n_clean) < least_odds:
-            continue
-        strength = _likelihood_ratio(toxic[node], clean.get(node, 0), n_toxic, n_clean)
-        if strength >= bound:
-            chosen[node] = strength
-    settled: dict[str, float] = {}
-    for node, strength in chosen.items():
-        while following := [c for c in children.get(node, ()) if toxic[c] >= 0.97 * toxic[node]]:
-            node = following[0]
-        settled[node] = strength
-    return sorted(settled, key=lambda n: (-settled[n], n))[:most_terms]
+    strength = {}
+    for node, t in toxic.items():
+        if _log_odds(t, clean.get(node, 0), n_toxic, n_clean) >= least_odds:
+            strength[node] = _likelihood_ratio(t, clean.get(node, 0), n_toxic, n_clean)
+    chosen: list[str] = []
+    covered: set[str] = set()  # chosen nodes and what stands above them
+    for node in sorted(strength, key=lambda n: (-strength[n], -len(n), n)):
+        if strength[node] < bound or len(chosen) == most_terms:
+            break
+        beginnings = {node[:n] for n in range(SHORTEST, len(node) + 1)}
+        if node not in covered and not beginnings.intersection(chosen):
+            chosen.append(node)
+            covered |= beginnings
+    return chosen
+
+
+def _exact_batches(terms: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(terms)
+        for batch in batches:
+            hits = [sorted({t for t, e, _ in matcher.hits(x) if e == 0}) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("toxic"), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "terms"]
+            )
+
+    return run
+
+
+def needed_terms(
+    terms: list[str], toxic_texts: list[list[int]], clean_counts: Counter, n_toxic: int, n_clean: int
+) -> list[str]:
+    """Terms far beyond chance, and those that explain toxic texts which no stronger term explains.
+
+    A chance word of a toxic text that was copied in parts passes the bound but always stands
+    beside a true term.
+    """
+    bound = 2 * math.log(max(1, len(terms)) / 0.05)
+    beyond = 20 * bound
+    of_term: dict[int, set[int]] = {}
+    for row, found in enumerate(toxic_texts):
+        for term in found:
+            of_term.setdefault(term, set()).add(row)
+    explained: set[int] = set()
+    kept = []
+    for number, term in enumerate(terms):  # strongest first
+        own, clean = of_term.get(number, set()), clean_counts[number]
+        new = own - explained
+        if (
+            _likelihood_ratio(len(own), clean, n_toxic, n_clean) >= beyond
+            or _likelihood_ratio(len(new), clean, n_toxic, n_clean) >= bound
+        ) and _log_odds(len(own), clean, n_toxic, n_clean) > 0:
+            kept.append(term)
+            explained |= own
+    return kept
 
 
 def _hit_batches(terms: list[str]):
@@ -323,6 +362,19 @@ def _hit_batches(terms: list[str]):
     return run
 
 
+def _distinct_texts(sample: DataFrame, hashes: int = 3) -> DataFrame:
+    """toxic, text: one row of those that share a label and a minimum hash of their words."""
+    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"))
+    sketches = [f"_h{k}" for k in range(hashes)]
+    sample = sample.select("_id", "toxic", "text", *[
+        F.array_min(F.transform(words, lambda w, k=k: F.xxhash64(w, F.lit(k)))).alias(h) for k, h in enumerate(sketches)
+    ])
+    for sketch in sketches:
+        first = F.min_by(F.struct("_id", "text", *sketches), F.struct("_id", "text"))
+        sample = sample.groupBy("toxic", sketch).agg(first.alias("_row")).select("toxic", "_row.*")
+    return sample.select("toxic", "text")
+
+
 def train(
     docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows: int = 9000, least_odds: float = 3.0,
     most_terms: int = 400, most_nodes: int = 200_000, misspelt: float = 0.02,
@@ -337,7 +389,7 @@ def train(
     draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / float(1 << 40)
     picked = stored(known.where(draw < share), "toxicity-sample")  # at most about toxic_rows + clean_rows ids
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sample = stored(texts.join(picked, texts["doc_id"] == picked["_id"]).select("toxic", "text"), "toxicity-texts")
+    sample = stored(_distinct_texts(texts.join(picked, texts["doc_id"] == picked["_id"])), "toxicity-texts")
     counted = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = counted.get(True, 0), counted.get(False, 0)
     if not n_toxic or not n_clean:
@@ -350,6 +402,10 @@ def train(
     clean = {r["node"]: r["docs"] for r in clean_nodes.groupBy("node").agg(F.sum("docs").alias("docs")).collect()}
     terms = choose_terms(toxic, clean, n_toxic, n_clean, least_odds, most_terms)
 
+    exact = sample.mapInArrow(_exact_batches(terms), "toxic boolean, terms array<int>").toArrow().to_pylist()
+    clean_counts = Counter(t for r in exact if not r["toxic"] for t in r["terms"])
+    terms = needed_terms(terms, [r["terms"] for r in exact if r["toxic"]], clean_counts, n_toxic, n_clean)
+
     hits = sample.mapInArrow(_hit_batches(terms), "key string, toxic long, clean long")
     hits = hits.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     seen = {r["key"]: (r["toxic"], r["clean"]) for r in hits.collect()}  # a few keys per term
