@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewatch.llm import chat, language, oracles as sql, packing, piece_bpe, quality, sharding, simhash, toxicity
+from pricewatch.llm import chat, language, neighbours, oracles as sql, packing, piece_bpe, quality, sharding, simhash, toxicity
 from pricewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, F.col("vec_id") % 50 == 0, k=5).select("query_id", "rank", "vec_id", "score")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op3_toxicity": op3_toxicity,
+        "op4_neighbours": op4_neighbours,
         "op5_quality": op5_quality,
         "op6_language": op6_language,
         "op7_pieces": op7_pieces,
