@@ -67,6 +67,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=4096)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # stands at the repository top
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -79,6 +85,7 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_chat": op9_chat,
         "op10_packing": op10_packing,
+        "pipeline": pipeline,
     }
 
 

@@ -211,3 +211,21 @@ def components(
     return prints.join(of_print, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame, words_per_shingle: int = 3, distance: int = 3) -> DataFrame:
+    """One row of every component, that of its smallest id, with the columns of ``docs``.
+
+    Rows that share that id and text are one document; of rows that share the id but not the text
+    all stay, and so do rows of components whose ids are all null.
+    """
+    found = components(docs, words_per_shingle, distance)
+    rows = docs.dropDuplicates(["doc_id", "text"]) if _repeats(found) else docs
+    lead = found.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
+    lead = stored(lead, "first-of-component")
+    return rows.join(lead, rows["doc_id"].eqNullSafe(lead["doc_id"]), "left_semi")
+
+
+def _repeats(found: DataFrame) -> bool:
+    """Whether an id occurs twice."""
+    return not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
