@@ -204,7 +204,7 @@ class Model:
     weights: dict[tuple[int, int], float] = field(default_factory=dict)
     context: dict[str, float] = field(default_factory=dict)
     slope: float = 0.0
-    offset: float = -1000.0
+    offset: float = -math.inf  # no labels: every score is 0
 
 
 class Matcher:
@@ -468,6 +468,8 @@ def fit_logistic(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray, shrink: f
 
 
 def score_of(hits: list[tuple[int, int, tuple[str, ...]]], model: Model) -> float:
+    if model.offset == -math.inf:
+        return 0.0
     logit = model.slope * evidence(hits, model) + model.offset
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
 
