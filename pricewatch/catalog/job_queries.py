@@ -77,7 +77,7 @@ def _sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_files_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.import_sheets(_sheet_cells(spark, sf_dir), 2, "file_no")
+    return clean.import_sheets(_sheet_cells(spark, sf_dir), 2, "file_no", "row_no")
 
 
 def _yearly_frames(spark: SparkSession, sf_dir: str) -> list[DataFrame]:

@@ -142,13 +142,14 @@ def ari_fit(name: str, source: str, keys: str) -> str:
 {name}_reg as (
   select {keys}, max(date) as last_date, arg_max(y, date) as y_last, arg_max(dy, date) as d0,
          case when var_pop(dx) filter (dy is not null) > 0 then regr_slope(dy, dx) end as b,
-         case when var_pop(dx) filter (dy is not null) > 0 then regr_intercept(dy, dx) end as a
+         regr_avgy(dy, dx) as my, regr_avgx(dy, dx) as mx
   from {name}_dx group by {keys}),
 {name} as (
   select {keys}, last_date, y_last,
          case when b is null then 0 else d0 end as d_last,
          case when b is null then 0 else greatest(-0.999, least(b, 0.999)) end as phi,
-         case when b is null then 0 else a / (1 - greatest(-0.999, least(b, 0.999))) end as mu
+         case when b is null then 0
+              else (my - greatest(-0.999, least(b, 0.999)) * mx) / (1 - greatest(-0.999, least(b, 0.999))) end as mu
   from {name}_reg)"""
 
 

@@ -110,7 +110,7 @@ def message(fdi: Column, ratio: Column, direction: Column, horizon: Column) -> C
 
     The trend text says 7 days whichever window the slope came from.
     """
-    percent = half_even(F.abs(fdi) * 15).cast("bigint").cast("string")
+    percent = half_even(F.abs(fdi) * 15).try_cast("decimal(38,0)").cast("string")
     opening = F.concat(F.lit("Forecast "), horizon_label(horizon))
     outlook = (
         F.when(F.abs(fdi) < 0.5, F.concat(opening, F.lit(f" {NORMAL_TEXT}")))

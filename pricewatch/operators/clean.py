@@ -16,7 +16,7 @@ from pricewatch.functions.cleaning import (
     parse_day_first,
     parse_price,
 )
-from pricewatch.functions.numeric import nan_to_null
+from pricewatch.functions.numeric import nan_to_null, to_double
 from pricewatch.operators.merge import first_per_key
 
 YEARLY_PRICE_HEADERS = ("Price (Rp)", "Price(Rp)")
@@ -76,57 +76,67 @@ def clean_upload(df: DataFrame) -> DataFrame:
     )
 
 
-def import_sheets(cells: DataFrame, width: int, file_column: str = "file_path") -> DataFrame:
-    """Rows of every valid sheet among raw cells ``c0 .. c{width-1}``.
-
-    Each file brings its own header row. A file without a date or a price header,
-    or with a price or date that does not parse, is left out as a whole; the
-    others go on. What is known about a file is one aggregated row, joined back
-    to its cells: no file is gathered in one task however large it is.
-    """
-    columns = [F.col(f"c{i}") for i in range(width)]
+def _opened_sheets(cells: DataFrame, width: int, file_column: str, order: str) -> DataFrame:
+    """One row per file: its first line, and where that names the date and the price (the last of several)."""
+    first = cells.groupBy(file_column).agg(
+        F.min(order).alias("_first"), F.min_by(F.array(*[F.col(f"c{i}") for i in range(width)]), order).alias("_header")
+    )
 
     def last_match(names: Sequence[str]) -> Column:
-        return F.greatest(
-            *[F.when(F.lower(c).isin(*names), F.lit(i)) for i, c in enumerate(columns)],
-            F.lit(-1),
-        )
-
-    headers = cells.groupBy(file_column).agg(
-        F.max(last_match(DATE_HEADERS)).alias("date_at"),
-        F.max(last_match(PRICE_HEADERS)).alias("price_at"),
-    )
-    usable = headers.filter((F.col("date_at") >= 0) & (F.col("price_at") >= 0))
-    row = F.array(*columns)
-    rows = (
-        cells.join(usable, file_column)
-        .withColumns(
-            {
-                "date_text": F.get(row, F.col("date_at")),
-                "price_text": F.get(row, F.col("price_at")),
-            }
-        )
-        .filter(
-            ~F.coalesce(normal_header(F.col("date_text")).isin(*DATE_HEADERS), F.lit(False))
-        )
-        .withColumns(
-            {
-                "date": parse_day_first(F.col("date_text")),
-                "price": parse_price(F.col("price_text")),
-            }
-        )
+        return F.array_max(F.transform("_header", lambda c, i: F.when(normal_header(c).isin(*names), i)))
+
+    return first.select(
+        file_column, "_first", last_match(DATE_HEADERS).alias("date_at"), last_match(PRICE_HEADERS).alias("price_at")
     )
-    broken = (F.col("price").isNull() & F.col("price_text").isNotNull()) | (
-        F.col("date").isNull() & F.col("date_text").isNotNull()
+
+
+def _parsed_sheets(cells: DataFrame, opened: DataFrame, width: int, file_column: str, order: str) -> DataFrame:
+    """Rows below the headers of the files that name both columns, with ``_broken`` where a cell does not parse."""
+    row = F.array(*[F.col(f"c{i}") for i in range(width)])
+    rows = cells.join(opened.where("date_at is not null and price_at is not null"), file_column)
+    rows = rows.where(F.col(order) > F.col("_first")).withColumns(
+        {"date_text": F.get(row, F.col("date_at")), "price_text": F.get(row, F.col("price_at"))}
     )
-    failed = (
-        rows.groupBy(file_column).agg(F.max(broken).alias("failed")).filter("failed").select(file_column)
+    rows = rows.withColumns(
+        {"date": parse_day_first(F.col("date_text")), "price": parse_price(F.col("price_text"))}
     )
+    bad_price = F.col("price").isNull() & F.col("price_text").isNotNull()
+    bad_date = F.col("date").isNull() & F.col("date_text").isNotNull()
+    reason = F.when(bad_price, "a price does not parse").when(bad_date, "a date does not parse")
+    return rows.withColumn("_broken", reason)
+
+
+def import_sheets(
+    cells: DataFrame, width: int, file_column: str = "file_path", order: str = "line_no"
+) -> DataFrame:
+    """Rows of every valid sheet among raw cells ``c0 .. c{width-1}``.
+
+    The first line of each file, by ``order``, is its header; header words further down are data. A
+    file without a date or a price header, or with a price or date that does not parse, is left out
+    as a whole (see ``rejected_sheets``); the others go on. What is known about a file is one
+    aggregated row, joined back to its cells: no file is gathered in one task however large it is.
+    """
+    opened = _opened_sheets(cells, width, file_column, order)
+    rows = _parsed_sheets(cells, opened, width, file_column, order)
+    failed = rows.where("_broken is not null").select(file_column).distinct()
     return (
         rows.join(failed, file_column, "left_anti")
         .filter(F.col("date").isNotNull() & (F.col("price") > 0))
-        .drop("date_at", "price_at", "date_text", "price_text", *[f"c{i}" for i in range(width)])
+        .drop("date_at", "price_at", "date_text", "price_text", "_first", "_broken", *[f"c{i}" for i in range(width)])
+    )
+
+
+def rejected_sheets(
+    cells: DataFrame, width: int, file_column: str = "file_path", order: str = "line_no"
+) -> DataFrame:
+    """(file, reason) of every file that ``import_sheets`` leaves out."""
+    opened = _opened_sheets(cells, width, file_column, order)
+    headless = opened.where("date_at is null or price_at is null").select(
+        file_column, F.when(F.col("date_at").isNull(), "no date column").otherwise("no price column").alias("reason")
     )
+    rows = _parsed_sheets(cells, opened, width, file_column, order)
+    broken = rows.where("_broken is not null").groupBy(file_column).agg(F.min("_broken").alias("reason"))
+    return headless.unionByName(broken)
 
 
 def concat_sheets(frames: Sequence[DataFrame]) -> DataFrame:
@@ -157,5 +167,5 @@ def load_yearly(
     separators are not stripped.
     """
     rows = unify_yearly_price(concat_sheets(frames))
-    typed = rows.withColumn("price", nan_to_null(F.col("price").try_cast("double")))
+    typed = rows.withColumn("price", nan_to_null(to_double(F.col("price"))))
     return first_per_key(typed, order, keys).filter(F.col("price") > 0)

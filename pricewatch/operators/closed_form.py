@@ -99,8 +99,8 @@ def _solve_ari(sums: DataFrame) -> DataFrame:
     varies = spread > F.col("sxx") * FLAT_SHARE
     slope = (F.col("sxy") - F.col("sx") * F.col("sy") / k) / F.when(varies, spread)
     bounded = F.greatest(F.lit(-PHI_MAX), F.least(F.col("_slope"), F.lit(PHI_MAX)))
-    # The intercept belongs to the unbounded slope.
-    intercept = (F.col("sy") - F.col("_slope") * F.col("sx")) / k
+    # The intercept belongs to the bounded slope, else momentum survives the bound.
+    intercept = (F.col("sy") - bounded * F.col("sx")) / k
     known = F.col("_slope").isNotNull()
     return (
         sums.withColumn("_slope", slope)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewatch.config import DEFAULT, Settings
-from pricewatch.functions import scoring
+from pricewatch.functions import numeric, scoring
 from pricewatch.operators import features
 from pricewatch.plans import forecasting
 
@@ -23,9 +23,10 @@ def historical_features(obs: DataFrame, settings: Settings = DEFAULT) -> DataFra
 def score(rows: DataFrame) -> DataFrame:
     """Scores rows of features plus ``horizon`` and ``forecast`` (the last forecast value).
 
-    A row whose score is undefined gets the fallback: 0, Normal, stable, 0.0, 1.0, 0.0.
+    A row whose score is undefined or not finite gets the fallback: 0, Normal, stable, 0.0, 1.0, 0.0.
     """
     fdi, ratio = F.col("fdi_raw"), F.col("vol_ratio")
+    text = scoring.message(fdi, ratio, F.col("direction"), F.col("horizon"))
     scored = (
         rows.withColumn(
             "fdi_raw",
@@ -42,7 +43,12 @@ def score(rows: DataFrame) -> DataFrame:
             scoring.breakdown(fdi, ratio, F.col("direction"), F.col("seasonal_deviation")),
         )
     )
-    known = F.col("breakdown.total").isNotNull() & F.col("trend_slope").isNotNull()
+    known = F.coalesce(
+        F.col("breakdown.total").isNotNull()
+        & numeric.is_finite(fdi) & numeric.is_finite(ratio) & numeric.is_finite(F.col("trend_slope"))
+        & text.isNotNull(),
+        F.lit(False),
+    )
 
     def value(column: Column, fallback) -> Column:
         return F.when(known, column).otherwise(F.lit(fallback))
@@ -57,10 +63,7 @@ def score(rows: DataFrame) -> DataFrame:
         value(fdi, 0.0).alias("fdi_value"),
         value(ratio, 1.0).alias("vol_ratio"),
         value(F.col("trend_slope"), 0.0).alias("trend_slope"),
-        value(
-            scoring.message(fdi, ratio, F.col("direction"), F.col("horizon")),
-            scoring.FALLBACK_TEXT,
-        ).alias("risk_message"),
+        value(text, scoring.FALLBACK_TEXT).alias("risk_message"),
         F.col("seasonal_deviation"),
         F.col("breakdown"),
     )

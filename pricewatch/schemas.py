@@ -41,6 +41,16 @@ RISK_STATUS = _struct(
     ("row_no", T.LongType()),
 )
 
+#: Price table: rows keep their write order, files are partitioned by year.
+PRICE_TABLE = _struct(
+    ("series_id", T.StringType()),
+    ("date", T.DateType()),
+    ("price", T.DoubleType()),
+    ("batch_no", T.IntegerType()),
+    ("row_no", T.LongType()),
+    ("year", T.IntegerType()),
+)
+
 MODEL_PARAMS = _struct(
     ("series_id", T.StringType()),
     ("scope", T.StringType()),
@@ -53,12 +63,15 @@ MODEL_PARAMS = _struct(
 )
 
 TABLES = {
-    "price_obs": PRICE_OBS,
+    "price_obs": PRICE_TABLE,
     "forecast": FORECAST,
     "risk_status": RISK_STATUS,
     "model_params": MODEL_PARAMS,
 }
 
+#: Partition columns of the stored tables; others have none.
+PARTITIONS = {"price_obs": ("year",), "forecast": ("horizon",)}
+
 
 def raw_sheet(width: int) -> T.StructType:
     """A sheet read without a header: ``width`` text cells per row."""

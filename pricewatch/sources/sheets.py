@@ -9,51 +9,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewatch import schemas
+from pricewatch.sources.tables import path_exists
 
 ALLOWED_EXTENSIONS = (".csv", ".txt", ".tsv")
-DEFAULT_WIDTH = 16
 
 
-def read_upload(spark: SparkSession, path: str, header: Sequence[str]) -> DataFrame:
-    """One uploaded sheet with the given header; the first line is skipped.
+def read_upload(spark: SparkSession, path: str) -> DataFrame:
+    """One uploaded sheet with the columns of its own header, as text.
 
     Raises for a file type that is not accepted. Malformed rows fail the read.
     """
     if os.path.splitext(path)[1].lower() not in ALLOWED_EXTENSIONS:
         raise ValueError(f"invalid file format, expected one of {', '.join(ALLOWED_EXTENSIONS)}")
-    fields = ", ".join(f"`{name}` string" for name in header)
-    return (
-        spark.read.schema(fields)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    reader = spark.read.option("header", True).option("inferSchema", False).option("mode", "FAILFAST")
+    return reader.csv(path)
+
 
+def widest_line(spark: SparkSession, folder: str) -> int:
+    """Most cells of any line of the folder's sheets; a comma inside quotes counts too."""
+    commas = F.length("value") - F.length(F.replace("value", F.lit(",")))
+    return 1 + (spark.read.text(folder).agg(F.max(commas)).first()[0] or 0)
 
-def read_cells(spark: SparkSession, folder: str, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """All sheets of a folder as raw cells, each row with the path of its file.
 
-    Headers differ between files, so they are read as rows and resolved later
-    by ``operators.clean.import_sheets``.
+def read_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """All sheets of a folder as raw cells ``c0, c1, ...``, wide enough for every line.
+
+    Headers differ between files, so they are read as rows and resolved later by
+    ``operators.clean.import_sheets``. ``line_no`` grows along each file: the parts of a file are
+    ordered by their start, and a part is read in order by one task.
     """
+    start = F.col("_metadata.file_block_start")
     return (
-        spark.read.schema(schemas.raw_sheet(width))
+        spark.read.schema(schemas.raw_sheet(widest_line(spark, folder)))
         .option("header", False)
         .csv(folder)
-        .withColumn("file_path", F.col("_metadata.file_path"))
+        .withColumns(
+            {
+                "file_path": F.col("_metadata.file_path"),
+                "line_no": F.struct(start.alias("start"), F.monotonically_increasing_id().alias("at")),
+            }
+        )
     )
 
 
-def read_yearly(spark: SparkSession, sheets: Sequence[tuple[str, Sequence[str]]]) -> list[DataFrame]:
-    """The sheets that exist among (path, header) pairs; missing ones are skipped."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    frames = []
-    for path, header in sheets:
-        location = jvm.org.apache.hadoop.fs.Path(path)
-        if not location.getFileSystem(conf).exists(location):
-            continue
-        fields = ", ".join(f"`{name}` string" for name in header)
-        frames.append(spark.read.schema(fields).option("header", True).csv(path))
-    return frames
+def width_of(cells: DataFrame) -> int:
+    return sum(name[0] == "c" and name[1:].isdigit() for name in cells.columns)
+
+
+def read_yearly(spark: SparkSession, paths: Sequence[str]) -> list[DataFrame]:
+    """The sheets that exist, each with the columns of its own header; missing ones are skipped."""
+    return [
+        spark.read.option("header", True).option("inferSchema", False).csv(path)
+        for path in paths if path_exists(spark, path)
+    ]

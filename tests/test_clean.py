@@ -53,28 +53,40 @@ def test_folder_import(spark, tmp_path):
     (tmp_path / "d.csv").write_text("date,price\n05/01/2022,5\n06/01/2022,oops\n")
     (tmp_path / "e.csv").write_text("date,price\n07/01/2022,\n08/01/2022,6\n")
     cells = sheets.read_cells(spark, str(tmp_path))
-    got = clean.import_sheets(cells, sheets.DEFAULT_WIDTH)
+    width = sheets.width_of(cells)
+    got = clean.import_sheets(cells, width)
+    assert {(r["file_path"][-5:], r["reason"]) for r in clean.rejected_sheets(cells, width).collect()} == {
+        ("c.csv", "no price column"), ("d.csv", "a price does not parse")}
     assert rows(got, "date", "price") == [
         (dt.date(2022, 1, 1), 1000.0), (dt.date(2022, 1, 3), 2000.0), (dt.date(2022, 1, 8), 6.0)]
 
 
+def test_header_words_in_data_and_wide_sheets(spark, tmp_path):
+    wide = ",".join(f"n{i}" for i in range(18))
+    (tmp_path / "wide.csv").write_text(f"{wide},date,price\n{wide},01/01/2022,5\n")
+    (tmp_path / "note.csv").write_text("date,price,note\n02-01-2022,6,Harga\n2022-01-03 00:00:00,7,date\n")
+    (tmp_path / "suffix.csv").write_text("date,price\n04/01/2022,5d\n")
+    cells = sheets.read_cells(spark, str(tmp_path))
+    got = clean.import_sheets(cells, sheets.width_of(cells))
+    assert rows(got, "date", "price") == [
+        (dt.date(2022, 1, 1), 5.0), (dt.date(2022, 1, 2), 6.0), (dt.date(2022, 1, 3), 7.0)]
+
+
 def test_read_upload(spark, tmp_path):
     path = tmp_path / "up.csv"
     path.write_text("Tanggal,Harga\n01/01/2022,1.000\n")
-    df = sheets.read_upload(spark, str(path), ["Tanggal", "Harga"])
+    df = sheets.read_upload(spark, str(path))
     assert rows(clean.clean_upload(df), "price") == [(1000.0,)]
     with pytest.raises(ValueError, match="invalid file format"):
-        sheets.read_upload(spark, str(tmp_path / "up.pdf"), ["date", "price"])
+        sheets.read_upload(spark, str(tmp_path / "up.pdf"))
 
 
 def test_yearly_sheets(spark, tmp_path):
     (tmp_path / "2022.csv").write_text("Date,Price (Rp)\n2022-01-01,5\n2022-01-01,6\n2022-01-02,-1\n")
-    (tmp_path / "2023.csv").write_text("Date,Price(Rp)\n2023-01-01,7\n2022-01-02,9\n")
+    (tmp_path / "2023.csv").write_text("Price(Rp),Date\n7,2023-01-01\n9,2022-01-02\n")
     frames = sheets.read_yearly(
         spark,
-        [(str(tmp_path / "2022.csv"), ["date", "Price (Rp)"]),
-         (str(tmp_path / "none.csv"), ["date", "Price (Rp)"]),
-         (str(tmp_path / "2023.csv"), ["date", "Price(Rp)"])],
+        [str(tmp_path / "2022.csv"), str(tmp_path / "none.csv"), str(tmp_path / "2023.csv")],
     )
     numbered = [
         f.withColumns({"series_id": F.lit("s"), "file_no": F.lit(i),

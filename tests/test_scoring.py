@@ -1,10 +1,12 @@
 """Risk score: golden values and properties."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from pricewatch.functions import numeric, scoring
-from pricewatch.plans import risk
+from pricewatch.functions import cleaning, numeric, scoring
+from pricewatch.plans import forecasting, risk
 
 FIELDS = (
     "series_id string, last_date date, horizon string, forecast double, moving_avg double,"
@@ -94,3 +96,27 @@ def test_half_even_and_safe_double(spark):
     bad = spark.sql("select explode(array('1.5', 'nan', 'inf', 'x', null)) as x")
     got = [r[0] for r in bad.select(numeric.safe_double(F.col("x"), -1.0)).collect()]
     assert got == [1.5, -1.0, -1.0, -1.0, -1.0]
+
+
+def test_an_explosive_series_does_not_end_the_job(spark, price_frame):
+    calm = price_frame([1000.0 + i % 9 for i in range(400)], series="calm")
+    wild = price_frame([float(10 ** (6 * i)) for i in range(1, 8)], start="2021-01-25", series="wild")
+    rows = risk.assess(calm.unionByName(wild).unionByName(price_frame([5.0], series="one"))).collect()
+    assert {r["series_id"] for r in rows} == {"calm", "wild", "one"}
+    for r in rows:
+        assert all(abs(r[c]) < float("inf") for c in ("risk_score", "fdi_value", "vol_ratio", "trend_slope"))
+        assert r["risk_message"] and r["risk_level"]
+
+
+def test_java_number_forms_are_no_numbers(spark):
+    df = spark.createDataFrame([("5d",), ("5f",), ("0x1p3",), ("NaN",), ("1.5e2",), (" 7 ",), (None,)], "t string")
+    got = df.select(numeric.safe_double(F.col("t"), -1.0).alias("s"), cleaning.parse_price(F.col("t")).alias("p")).collect()
+    assert [r["s"] for r in got] == [-1.0, -1.0, -1.0, -1.0, 150.0, 7.0, -1.0]
+    assert [r["p"] for r in got] == [None, None, None, None, 1500.0, 7.0, None]
+
+
+def test_slope_at_the_bound_keeps_no_momentum(spark, price_frame):
+    steps = [0.01 * 1.1**i for i in range(40)]  # each log step is 1.1 times the last
+    prices = price_frame([math.exp(sum(steps[: i + 1])) for i in range(40)])
+    rows = forecasting.forecast_operational(prices).where("horizon = 'short' and model = 'arima'").collect()
+    assert all(r["yhat"] < 1e20 for r in rows)

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pricewatch import config, schemas
@@ -19,12 +20,19 @@ def test_tables_are_created_once_and_cleared(spark, tmp_path):
     root = str(tmp_path)
     sinks.ensure_tables(spark, root)
     path = f"{root}/price_obs"
-    spark.createDataFrame([("s", DAY, 1.0)], schemas.PRICE_OBS).write.mode("append").parquet(path)
+    kind = "series_id string, date date, price double, batch_no int, row_no bigint"
+    assert tables.prices(spark, path).count() == 0
+    assert sinks.upsert_price_table(spark.createDataFrame([("s", DAY, 1.0, 1, 1)], kind), path) == 1
     sinks.ensure_tables(spark, root)
     assert tables.prices(spark, path).count() == 1
     sinks.clear_table(spark, path)
     assert tables.prices(spark, path).count() == 0
     assert tables.prices(spark, f"{root}/none").count() == 0
+    sinks.upsert_price_table(spark.createDataFrame([("s", DAY, 2.0, 1, 1)], kind), path)
+    assert [r["price"] for r in tables.prices(spark, path).collect()] == [2.0]
+    spark.createDataFrame([("s", DAY, 2.0)], "series_id string, date date, cost double").write.parquet(f"{root}/odd")
+    with pytest.raises(AnalysisException):
+        tables.prices(spark, f"{root}/odd")
 
 
 def test_replacing_one_horizon_keeps_the_others(spark, tmp_path):
@@ -46,7 +54,7 @@ def test_risk_rows_are_sanitised_and_appended(spark, tmp_path):
     for i in range(2):
         sinks.append_risk(rows, path, dt.datetime(2022, 1, 1 + i), DAY)
     stored = tables.risk_history(spark, path)
-    assert stored.count() == 2
+    assert stored.count() == 2 and stored.select("row_no").distinct().count() == 2
     newest = sinks.risk_history(stored, "short", 1).collect()[0]
     assert newest["created_at"] == dt.datetime(2022, 1, 2) and newest["date"] == DAY
     assert (newest["risk_score"], newest["fdi_value"], newest["vol_ratio"]) == (0, 0.0, 1.0)
