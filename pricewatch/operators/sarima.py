@@ -4,7 +4,7 @@ The long part runs on Spark: differencing orders from regression and
 stationarity statistics, then the autocovariances of the differenced series, all
 by windows over one sort and one aggregation. A series leaves that as some forty
 numbers. Everything after follows from the autocovariances, so a small Arrow
-function solves the candidate orders for a whole batch of series together.
+function solves the candidate orders of each series without its days.
 
 Orders: p, q <= 3, P, Q <= 1 with weekly seasons and p + q + P + Q <= 6; d <= 2,
 D <= 1. Candidates are fitted in two regressions (Hannan and Rissanen): a long
@@ -34,8 +34,6 @@ MAX_ORDER = 6
 # and of the 5 % level-stationarity test.
 SEASONAL_CRITICAL = -1.845
 STATIONARY_CRITICAL = 0.463
-# Lags of the long-run variance; its usual length grows with the series.
-MAX_VARIANCE_LAG = 12
 LONG_AR = 14
 # Residual lags reach 7, own lags 7, both through the long autoregression.
 COVARIANCES = LONG_AR + SEASON + LONG_AR
@@ -47,7 +45,7 @@ MAX_ROOT = 0.999
 
 FIT_TYPE = (
     "struct<p:int,q:int,seasonal_p:int,seasonal_q:int,aicc:double,"
-    "ar:array<double>,ma:array<double>,path:array<double>>"
+    "ar:array<double>,ma:array<double>,path:array<double>,status:string>"
 )
 
 
@@ -124,66 +122,51 @@ def with_seasonal_order(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
     )
 
 
+def _moves(values: np.ndarray) -> bool:
+    """Whether level stationarity is rejected: cumulated deviations against the long-run variance
+    with Bartlett weights over floor(3 sqrt(n) / 13) lags."""
+    known = ~np.isnan(values)
+    n = int(known.sum())
+    if not n:
+        return False
+    e = values - values[known].mean()
+    lags = int(3 * np.sqrt(n) / 13)
+    variance = np.nansum(e * e)
+    for k in range(1, min(lags, len(e) - 1) + 1):
+        variance += 2 * (1 - k / (lags + 1)) * np.nansum(e[k:] * e[:-k])
+    cumulated = np.cumsum(np.where(known, e, 0.0))[known]
+    return bool(variance > 0 and (cumulated**2).sum() / n / variance > STATIONARY_CRITICAL)
+
+
+def _difference_orders(values: pd.Series) -> pd.Series:
+    """Differences until the statistic no longer rejects, at most two."""
+    orders = []
+    for row in values:
+        w = np.array(row, dtype=float)
+        orders.append(0 if not _moves(w) else 1 if not _moves(np.diff(w)) else 2)
+    return pd.Series(orders, dtype="int32")
+
+
 def with_difference_order(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Adds ``v``, the differenced series, and ``d``.
+    """Adds ``v``, the differenced series, and ``d``, the number of differences.
 
-    ``d`` counts the differences until the level-stationarity statistic no longer
-    rejects: cumulated deviations against the long-run variance with Bartlett
-    weights over at most 12 lags.
+    The values of a series, one per calendar day, go to the statistic as one array; its lags grow
+    with the series. Array and rows have the same placement, so the join back needs no exchange.
     """
-    ordered, whole, running = _windows(keys)
+    ordered, _, _ = _windows(keys)
     seasonal = F.when(F.col("seasonal_d") == 1, F.col("y") - F.lag("y", SEASON).over(ordered))
     w0 = rows.withColumn("_w0", F.when(F.col("seasonal_d") == 0, F.col("y")).otherwise(seasonal))
     w1 = w0.withColumn("_w1", F.col("_w0") - F.lag("_w0").over(ordered))
     w2 = w1.withColumn("_w2", F.col("_w1") - F.lag("_w1").over(ordered))
-    level = w2.select(
-        *w2.columns,
-        *[(F.col(f"_w{i}") - F.avg(f"_w{i}").over(whole)).alias(f"_e{i}") for i in (0, 1)],
-    )
-    summed = level.select(
-        *level.columns,
-        *[F.sum(f"_e{i}").over(running).alias(f"_s{i}") for i in (0, 1)],
-        *[
-            F.lag(f"_e{i}", k).over(ordered).alias(f"_l{i}_{k}")
-            for i in (0, 1)
-            for k in range(1, MAX_VARIANCE_LAG + 1)
-        ],
-    )
-    found = summed.select(
-        *w2.columns,
-        *[F.count(f"_e{i}").over(whole).alias(f"_n{i}") for i in (0, 1)],
-        *[
-            F.sum(F.when(F.col(f"_e{i}").isNotNull(), F.col(f"_s{i}") * F.col(f"_s{i}")))
-            .over(whole)
-            .alias(f"_ss{i}")
-            for i in (0, 1)
-        ],
-        *[
-            F.sum(F.col(f"_e{i}") * (F.col(f"_e{i}") if k == 0 else F.col(f"_l{i}_{k}")))
-            .over(whole)
-            .alias(f"_g{i}_{k}")
-            for i in (0, 1)
-            for k in range(MAX_VARIANCE_LAG + 1)
-        ],
-    )
-
-    def moves(i: int) -> Column:
-        n = F.col(f"_n{i}")
-        lags = F.least(F.floor(3 * F.sqrt(n) / 13), F.lit(MAX_VARIANCE_LAG))
-        variance = F.col(f"_g{i}_0")
-        for k in range(1, MAX_VARIANCE_LAG + 1):
-            weight = F.greatest(1 - F.lit(float(k)) / (lags + 1), F.lit(0.0))
-            variance = variance + 2 * weight * F.coalesce(F.col(f"_g{i}_{k}"), F.lit(0.0))
-        statistic = F.col(f"_ss{i}") / n / F.when(variance > 0, variance)
-        return F.coalesce(statistic > STATIONARY_CRITICAL, F.lit(False))
-
-    d = F.when(~moves(0), 0).when(~moves(1), 1).otherwise(2)
+    days = w0.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "_w0"))).alias("_days"))
+    order = F.pandas_udf(_difference_orders, "int")
+    found = days.select(*keys, order(F.transform("_days", lambda day: day["_w0"])).alias("d"))
     v = (
         F.when(F.col("d") == 0, F.col("_w0"))
         .when(F.col("d") == 1, F.col("_w1"))
         .otherwise(F.col("_w2"))
     )
-    return found.withColumn("d", d).select(*rows.columns, "d", v.alias("v"))
+    return w2.join(found, list(keys)).select(*rows.columns, "d", v.alias("v"))
 
 
 def summarise(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -246,22 +229,22 @@ def _difference_weights(d: int, seasonal_d: int) -> np.ndarray:
     return poly
 
 
-def _moments(gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _moments(gamma: np.ndarray, long: int = LONG_AR) -> tuple[np.ndarray, np.ndarray]:
     """Second moments of (v, its lags 1..7, residual lags 1..7) and the long filter.
 
-    Residuals are ``sum_j a_j v(t-j)`` with the long autoregression as filter
+    Residuals are ``sum_j a_j v(t-j)`` with an autoregression of ``long`` lags as filter
     ``a``, so every moment is a weighted sum of autocovariances.
     """
-    lags = np.arange(1, LONG_AR + 1)
+    lags = np.arange(1, long + 1)
     toeplitz = gamma[np.abs(lags[:, None] - lags[None, :])]
-    ridge = np.eye(LONG_AR) * gamma[0] * 1e-9
+    ridge = np.eye(long) * gamma[0] * 1e-9
     phi = np.linalg.solve(toeplitz + ridge, gamma[lags])
     filt = np.concatenate([[1.0], -phi])
-    rows = np.zeros((1 + 2 * SEASON, LONG_AR + SEASON + 1))
+    rows = np.zeros((1 + 2 * SEASON, long + SEASON + 1))
     for i in range(SEASON + 1):
         rows[i, i] = 1.0
     for i in range(1, SEASON + 1):
-        rows[SEASON + i, i : i + LONG_AR + 1] = filt
+        rows[SEASON + i, i : i + long + 1] = filt
     index = np.arange(rows.shape[1])
     return rows @ gamma[np.abs(index[:, None] - index[None, :])] @ rows.T, filt
 
@@ -322,27 +305,30 @@ def _forecast(ar, ma, filt, weights, centre: float, tail: np.ndarray, steps: int
 
 
 def _fit_one(d, seasonal_d, centre, n, covariances, tail, steps):
-    """Fit and path of one series; a series that is too short or flat keeps its last price."""
+    """Fit and path of one series; one that cannot be fitted keeps its last price and says why in ``status``."""
     tail = np.asarray(tail, dtype=float)
     gamma = np.asarray(covariances, dtype=float) / max(n, 1)
     flat = {
         "p": 0, "q": 0, "seasonal_p": 0, "seasonal_q": 0, "aicc": None, "ar": [], "ma": [],
         "path": np.full(steps, np.exp(tail[-1])).tolist() if len(tail) else None,
     }
-    if n < 2 * COVARIANCES or len(tail) < TAIL or gamma[0] <= 1e-16:
-        return flat
-    moments, filt = _moments(gamma)
+    if gamma[0] <= 1e-16:
+        return flat | {"status": "constant"}
+    weights = _difference_weights(int(d), int(seasonal_d))
+    long = min(LONG_AR, int(n) // 5)  # a short series carries a shorter autoregression
+    if long < 1 or len(tail) < len(weights) + long:
+        return flat | {"status": "too short"}
+    moments, filt = _moments(gamma, long)
     found = _search(moments, int(n))
     if found is None:
-        return flat
+        return flat | {"status": "no candidate"}
     (p, q, sp, sq), ar, ma, aicc = found
-    weights = _difference_weights(int(d), int(seasonal_d))
     path = np.exp(_forecast(ar, ma, filt, weights, centre, tail, int(steps)))
     if not np.isfinite(path).all():
-        return flat
+        return flat | {"status": "not finite"}
     return {
         "p": p, "q": q, "seasonal_p": sp, "seasonal_q": sq, "aicc": aicc,
-        "ar": ar.tolist(), "ma": ma.tolist(), "path": path.tolist(),
+        "ar": ar.tolist(), "ma": ma.tolist(), "path": path.tolist(), "status": "fitted",
     }
 
 

@@ -156,6 +156,28 @@ def test_sarima_follows_weekly_seasons(price_frame):
     assert np.mean(np.abs(np.array(fit["path"]) / want - 1)) < 0.06
 
 
+def test_sarima_fits_short_series_and_says_what_it_cannot_fit(price_frame):
+    rng = np.random.default_rng(6)
+    week = np.tile([0.0, 0.3, -0.2, 0.1, 0.4, -0.3, 0.2], 10)
+    values = np.exp(6 + week + rng.normal(0, 0.01, 70))
+    for days in (45, 69):
+        fit = one(sarima.fit_sarima(sarima.daily_logs(segments(price_frame(values[:days]))), F.lit(7)))
+        assert fit["status"] == "fitted"
+        assert np.mean(np.abs(np.array(fit["path"]) / np.exp(6 + np.tile(week[:7], 2)[days % 7 : days % 7 + 7]) - 1)) < 0.15
+    for values, status in (([5.0] * 400, "constant"), ([5.0, 6.0, 5.5], "too short")):
+        assert one(sarima.fit_sarima(sarima.daily_logs(segments(price_frame(values))), F.lit(3)))["status"] == status
+
+
+def test_variance_lags_grow_with_the_series():
+    rng = np.random.default_rng(3)
+    e = np.convolve(rng.normal(0, 1, 4030), np.ones(31), mode="valid")  # correlated over 30 days, but level
+    assert int(3 * np.sqrt(len(e)) / 13) == 14
+    centred = e - e.mean()
+    variance = centred @ centred + 2 * sum((1 - k / 15) * (centred[k:] @ centred[:-k]) for k in range(1, 15))
+    want = (np.cumsum(centred) ** 2).sum() / len(e) / variance > sarima.STATIONARY_CRITICAL
+    assert sarima._moves(e) == want
+
+
 @pytest.mark.parametrize("log", [False, True])
 def test_changepoint_model_beats_seasonal_naive(price_frame, log):
     rng = np.random.default_rng(8)
