@@ -455,7 +455,7 @@ def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets written one folder per year, streamed into the price table, read back."""
+    """Sheets written to one folder, streamed into the price table, read back."""
     raw = panels.raw_upload(spark, sf_dir).select(
         F.lit("all").alias("series_id"),
         F.col("file_no").cast("int").alias("batch_no"),

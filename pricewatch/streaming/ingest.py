@@ -14,19 +14,33 @@ from pricewatch.operators.sinks import upsert_price_table
 SHEET_SCHEMA = "series_id string, batch_no int, row_no bigint, tanggal string, harga string"
 
 
-def clean_rows(sheets: DataFrame) -> DataFrame:
-    """Typed rows with a date and a positive price; works on batches and streams."""
+ROW = ("series_id", "date", "price", "batch_no", "row_no")
+
+
+def typed_rows(sheets: DataFrame) -> DataFrame:
+    """Rows with a date cell and a positive price, and the file they came from; works on streams."""
     return (
         sheets.withColumn("date", parse_day_first(F.col("tanggal")))
         .withColumn("price", parse_price(F.col("harga")))
-        .filter(F.col("date").isNotNull() & (F.col("price") > 0))
-        .select("series_id", "date", "price", "batch_no", "row_no")
+        .filter(F.col("tanggal").isNotNull() & (F.col("price") > 0))
     )
 
 
-def merge_into(path: str) -> Callable[[DataFrame, int], None]:
+def merge_into(path: str, rejected: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Merges the sheets of a batch. As in a batch upload, one unparsable date on a kept row refuses
+    its whole sheet; refused sheets go to the table ``rejected`` as they are, the others go on."""
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        upsert_price_table(batch, path)
+        batch = batch.persist()
+        bad = batch.where("date is null").select("file_path").distinct()
+        upsert_price_table(batch.join(bad, "file_path", "left_anti").select(*ROW), path)
+        if rejected is not None:
+            aside = batch.join(bad, "file_path", "left_semi").drop("date", "price")
+            aside = aside.withColumn("batch_id", F.lit(batch_id))
+            aside.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(
+                rejected
+            )
+        batch.unpersist()
 
     return merge
 
@@ -37,8 +51,9 @@ def stream_upserts(
     table_path: str,
     checkpoint: str,
     files_per_batch: int = 1000,
+    rejected_path: str | None = None,
 ) -> StreamingQuery:
-    """Merges all sheets present in ``folder`` and stops.
+    """Merges all sheets present in ``folder`` and stops; refused sheets go to ``rejected_path``.
 
     Rows carry their own write order, so a batch that is replayed after a lost
     driver or executor leaves the table as it was.
@@ -48,10 +63,11 @@ def stream_upserts(
         .option("header", True)
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(folder)
+        .withColumn("file_path", F.col("_metadata.file_path"))
     )
     return (
-        clean_rows(sheets)
-        .writeStream.foreachBatch(merge_into(table_path))
+        typed_rows(sheets)
+        .writeStream.foreachBatch(merge_into(table_path, rejected_path))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -132,8 +132,12 @@ def test_streamed_uploads_merge_and_replay(spark, tmp_path):
     ingest.stream_upserts(spark, str(folder), table, str(tmp_path / "c")).awaitTermination()
     # A fresh checkpoint replays everything.
     ingest.stream_upserts(spark, str(folder), table, str(tmp_path / "c2")).awaitTermination()
+    (folder / "3.csv").write_text(head + "s,3,1,02/01/2022,3.000\ns,3,2,99/99/2022,4.000\n")
+    aside = str(tmp_path / "aside")
+    ingest.stream_upserts(spark, str(folder), table, str(tmp_path / "c"), rejected_path=aside).awaitTermination()
     got = [(r["date"], r["price"]) for r in spark.read.parquet(table).collect()]
     assert got == [(DAY, 2000.0)]
+    assert sorted(r["harga"] for r in spark.read.parquet(aside).collect()) == ["3.000", "4.000"]
 
 
 def test_shared_folder_is_required_on_a_cluster(spark):
