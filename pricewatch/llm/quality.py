@@ -199,9 +199,16 @@ def verdicts(
 
 
 def kept(docs: DataFrame, labels: DataFrame, **risk) -> DataFrame:
-    """Rows of ``docs`` that pass, with their own columns; no text is shuffled."""
+    """Rows of ``docs`` that pass, with their own columns; no text is shuffled.
+
+    A filter over the verdict alone would be pushed below the counts and compute every count again
+    for each use; one that also reads a row number cannot be pushed below the numbering.
+    """
     rows = docs.select("doc_id", F.col("text").alias("_text"), F.col("lang").alias("_lang"))
-    marked = rows.join(labels.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
-    cutoffs = stored(learn_cutoffs(with_counts(marked, "_text").drop("_text"), labels, stratum_col="_lang", **risk), "cutoffs")
+    scored = stored(with_counts(rows, "_text").drop("_text"), "quality-scores")  # numbers meet the labels, not texts
+    cutoffs = stored(learn_cutoffs(scored, labels, stratum_col="_lang", **risk), "cutoffs")
     own = docs.select(F.struct("*").alias("_doc"), F.col("text").alias("_text"), F.col("lang").alias("_lang"))
-    return judged(with_counts(own, "_text"), cutoffs, "_lang").where("kept").select("_doc.*")
+    verdict = judged(with_counts(own, "_text"), cutoffs, "_lang").select(
+        "_doc", "kept", F.monotonically_increasing_id().alias("_row")
+    )
+    return verdict.where(F.col("kept") & (F.col("_row") >= 0)).select("_doc.*")
