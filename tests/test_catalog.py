@@ -7,14 +7,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pricewatch.catalog import registry
 from pricewatch.catalog.fixture import SETTINGS
 from pricewatch.plans import forecasting, report, risk
 from pricewatch.sources import panels
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer events lineitem nation orders part region supplier".split()
-CHECKED = sorted(entry.oracle_sql())
-ROWS_ONLY = sorted(set(entry.queries()) - set(CHECKED))
+CHECKED = sorted(registry.oracles())
+ROWS_ONLY = sorted(set(registry.queries()) - set(CHECKED))
 
 
 @pytest.fixture(scope="module")
