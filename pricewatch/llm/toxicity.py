@@ -5,9 +5,9 @@ a prefix of a word, or a whole word (its last letter followed by an end mark). A
 when its log-likelihood ratio passes a bound corrected for the number of nodes tested and its log
 odds are high. The strongest node of every path is taken, the deepest of equals, so a term is a
 whole word where all its uses are that word, and a stem where it has many endings. Near copies
-would count a text's chance words many times; texts of one label that share a minimum hash of their
-words therefore count as one, and a term that is not far beyond chance must explain texts that no
-stronger term explains.
+would count a text's chance words many times; of texts of one label whose runs of five words are
+alike (a Jaccard similarity of 0.8 or more, compared whole) one therefore counts, and a term that is
+not far beyond chance must explain texts that no stronger term explains.
 
 Matching. The trie is intersected with the Levenshtein automaton (insert, delete, substitute,
 transpose) of the text's word: a state is a set of (trie node, edits), and transitions are made
@@ -40,6 +40,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +50,8 @@ END = "\x00"
 #: Shortest and longest prefix (with the end mark) that can be a term.
 SHORTEST, LONGEST = 4, 16
 WINDOW = 5
+#: Near copies: words of a shingle, similarity of their sets, bands of minimum hashes that find them.
+SHINGLE, ALIKE, BANDS, BAND = 5, 0.8, 8, 2
 _TOKEN = re.compile(r"\S+")
 _PART = re.compile(r"[^\W_]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -362,17 +365,58 @@ def _hit_batches(terms: list[str]):
     return run
 
 
-def _distinct_texts(sample: DataFrame, hashes: int = 3) -> DataFrame:
-    """toxic, text: one row of those that share a label and a minimum hash of their words."""
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"))
-    sketches = [f"_h{k}" for k in range(hashes)]
-    sample = sample.select("_id", "toxic", "text", *[
-        F.array_min(F.transform(words, lambda w, k=k: F.xxhash64(w, F.lit(k)))).alias(h) for k, h in enumerate(sketches)
-    ])
-    for sketch in sketches:
-        first = F.min_by(F.struct("_id", "text", *sketches), F.struct("_id", "text"))
-        sample = sample.groupBy("toxic", sketch).agg(first.alias("_row")).select("toxic", "_row.*")
-    return sample.select("toxic", "text")
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of the distinct runs of ``SHINGLE`` words; a shorter text is one run."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split() or [b""]
+    k = min(SHINGLE, len(words))
+    runs = map(b" ".join, zip(*[words[i:] for i in range(k)]))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs), dtype=np.uint64))
+
+
+def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts are near copies share a band (``BAND`` minimum hashes of shingles), very likely."""
+    seeds = np.random.default_rng(SHINGLE).integers(0, 1 << 64, BANDS * BAND, dtype=np.uint64)
+    for batch in batches:
+        bands = []
+        for text in batch.column("text").to_pylist():
+            own = shingles(text)
+            least = np.array([((own ^ s) * np.uint64(0x9E3779B97F4A7C15)).min() for s in seeds]).reshape(BANDS, BAND)
+            bands += [xxhash.xxh64_intdigest(x.tobytes(), b) for b, x in enumerate(least)]
+        rows = np.repeat(np.arange(batch.num_rows), BANDS)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("toxic").take(pa.array(rows)), batch.column("_row").take(pa.array(rows)),
+             pa.array(np.array(bands, dtype=np.uint64).view(np.int64))],
+            names=["toxic", "_row", "_band"],
+        )
+
+
+def _copy_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text is a near copy of ``_head_text``: shingles at a Jaccard similarity of ``ALIKE`` or more."""
+    for batch in batches:
+        alike = []
+        for text, head in zip(batch.column("text").to_pylist(), batch.column("_head_text").to_pylist()):
+            own, other = shingles(text), shingles(head)
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            alike.append(both >= ALIKE * (len(own) + len(other) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("_row").filter(pa.array(alike, pa.bool_()))], names=["_row"])
+
+
+def _distinct_texts(sample: DataFrame) -> DataFrame:
+    """toxic, text: without the near copies of other texts of their label.
+
+    Equal texts are one. A text goes only if it was compared whole with the first text of a band and
+    found to be its near copy; the first text of every group of near copies stays.
+    """
+    texts = sample.select("toxic", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    texts = stored(texts.withColumn("_row", F.xxhash64("toxic", "text")), "toxicity-sampled-texts")
+    bands = stored(texts.mapInArrow(_band_batches, "toxic boolean, _row long, _band long"), "toxicity-bands")
+    heads = bands.groupBy("toxic", "_band").agg(F.min("_row").alias("_head"), F.count("*").alias("_n"))
+    heads = stored(heads.where("_n > 1").drop("_n"), "toxicity-band-heads")
+    pairs = bands.join(heads, ["toxic", "_band"]).where("_row != _head").select("_row", "_head").distinct()
+    head_texts = texts.select(F.col("_row").alias("_head"), F.col("text").alias("_head_text"))
+    whole = pairs.join(texts.select("_row", "text"), "_row").join(head_texts, "_head").select("_row", "text", "_head_text")
+    copies = stored(whole.mapInArrow(_copy_batches, "_row long").distinct(), "toxicity-copies")
+    return texts.join(copies, "_row", "left_anti").select("toxic", "text")
 
 
 def train(

@@ -76,3 +76,23 @@ def test_odd_rows_empty_tables_and_no_labels(odd_docs, no_docs, labels, model):
     untaught = toxicity.learn(odd_docs, labels.limit(0))
     assert {r["score"] for r in toxicity.scores(odd_docs, untaught).collect()} == {0.0}
     assert toxicity.accepted(odd_docs, labels).columns == odd_docs.columns
+
+
+def test_only_near_copies_are_collapsed(spark):
+    rng = random.Random(7)
+    apart = [f"the de und w{i}" for i in range(60)]  # one word of four is their own
+    long = [f"x{rng.randrange(10**6)}" for _ in range(80)]
+    copies = [" ".join(long[:i] + ["changed"] + long[i + 1 :]) for i in (5, 20, 40, 60, 78)]
+    same = ["Only four words here", "only  four words HERE", "", None, " \n"]
+    rows = [(i, label, t) for label in (True, False) for i, t in enumerate(apart + [" ".join(long)] + copies + same)]
+    got = toxicity._distinct_texts(spark.createDataFrame(rows, "_id long, toxic boolean, text string")).collect()
+    for label in (True, False):
+        texts = [r["text"] for r in got if r["toxic"] == label]
+        assert set(apart) <= set(texts)
+        assert len(texts) == len(apart) + 3  # one long text, one of four words, one empty
+
+
+def test_shingles_of_odd_texts():
+    assert toxicity.shingles(None).tolist() == toxicity.shingles(" \n").tolist()
+    assert len(toxicity.shingles("a b c")) == 1 and len(toxicity.shingles("a b c d e f")) == 2
+    assert len(toxicity.shingles("\ud800 x")) == 1
