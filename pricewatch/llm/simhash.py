@@ -7,7 +7,9 @@ within one half of the bits are needed, for of 2r + 1 differing bits r + 1 lie i
 
 Variants are shuffled by their leading bits. All variants of a fingerprint that share them travel
 as one row and are made at their destination, so a fingerprint costs tens of rows, not thousands.
-There the variants are sorted; members of one variant are linked to its first member within r
+A bucket of very many variants (edited copies share their leading bits) is split further by parities
+of random sets of bits: close fingerprints differ in them, equal variants do not, so each variant is
+still made once and every group is bounded. There the variants are sorted; members of one variant are linked to its first member within r
 flips, each link is verified on the bit distance, and the links of a bucket are reduced to a
 forest. Components come from star rounds over the forests.
 
@@ -36,8 +38,10 @@ BITS = 64
 SEED = 42
 #: Fingerprints for which a bucket is the home, on average; the leading bits follow from it.
 HOME = 256
-#: Variants made and sorted at once.
+#: Variants made and sorted at once; a bucket with more is split into parts of about as many.
 AT_ONCE = 2_000_000
+#: Sets of bits whose parities tell the parts of a bucket apart.
+PARITIES = np.random.default_rng(SEED).integers(0, 1 << 64, 24, dtype=np.uint64)
 #: Hashes unpacked at once.
 _BLOCK = 1 << 16
 
@@ -77,24 +81,33 @@ def fingerprints(
 
 
 class Ball:
-    """Flip masks of the ball, grouped by their part in the leading bits."""
+    """Flip masks of the ball, grouped by their key: the leading bits, then ``extra`` parities.
 
-    def __init__(self, distance: int, lead: int) -> None:
-        self.distance, self.lead, self.shift = distance, lead, np.uint64(BITS - lead)
+    Both are linear, so the key of a variant is the fingerprint's key with the mask's key flipped.
+    """
+
+    def __init__(self, distance: int, lead: int, extra: int = 0) -> None:
+        self.distance, self.lead, self.shift, self.extra = distance, lead, np.uint64(BITS - lead), extra
         r = distance // 2
         near = [c for n in range(r + 1) for c in combinations(range(BITS), n)]
         halves = (range(BITS // 2), range(BITS // 2, BITS))
         far = [c for half in halves for c in combinations(half, r + 1)] if distance % 2 else []
         self.near, self.far = self._grouped(near), self._grouped(far)
 
+    def keys(self, values: np.ndarray) -> np.ndarray:
+        keys = (values >> self.shift).astype(np.int64)
+        for bits in PARITIES[: self.extra]:
+            keys = keys << 1 | np.bitwise_count(values & bits) % 2
+        return keys
+
     def _grouped(self, flips: list[tuple[int, ...]]) -> dict[int, np.ndarray]:
         masks = np.array([sum(1 << b for b in c) for c in flips], dtype=np.uint64)
-        lead = (masks >> self.shift).astype(np.int64)
-        return {int(x): masks[lead == x] for x in np.unique(lead)}
+        keys = self.keys(masks)
+        return {int(x): masks[keys == x] for x in np.unique(keys)}
 
     def destinations(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bucket, fingerprint) rows: every bucket that holds a variant of the fingerprint."""
-        home = (prints >> self.shift).astype(np.int64)
+        home = self.keys(prints)
         odd = np.bitwise_count(prints) % 2 == 1
         buckets, owners = [], []
         for flip in self.near.keys() | self.far.keys():
@@ -103,10 +116,38 @@ class Ball:
             owners.append(prints[chosen])
         return np.concatenate(buckets), np.concatenate(owners)
 
-    def variants(self, bucket: int, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """(owner, variants, within r flips) of the fingerprints, for variants in this bucket."""
+    def counts(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, variants of these fingerprints in it)."""
+        home = self.keys(prints)
+        odd = np.bitwise_count(prints) % 2 == 1
+        buckets, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for groups, own in ((self.near, home), (self.far, home[odd])):
+            homes, n = np.unique(own, return_counts=True)
+            for flip, masks in groups.items():
+                buckets.append(homes ^ flip)
+                sizes.append(n * len(masks))
+        found, place = np.unique(np.concatenate(buckets), return_inverse=True)
+        return found, np.bincount(place, np.concatenate(sizes), len(found)).astype(np.int64)
+
+    def parts(self, bucket: int, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(part, fingerprint) rows: every part of the bucket (of leading bits) that holds a variant."""
+        low = (1 << self.extra) - 1
         flip = (prints >> self.shift).astype(np.int64) ^ bucket
         odd = np.bitwise_count(prints) % 2 == 1
+        for wanted, keys in ((~odd, set(self.near)), (odd, self.near.keys() | self.far.keys())):
+            keys = np.array(sorted(keys), dtype=np.int64)
+            for x in np.unique(flip[wanted]).tolist():
+                own, flips = prints[wanted & (flip == x)], keys[keys >> self.extra == x] & low
+                step = max(1, 100_000 // max(1, len(flips)))
+                for first in range(0, len(own), step):
+                    some = own[first : first + step]
+                    part = (self.keys(some) & low)[:, None] ^ flips[None, :]
+                    yield part.ravel(), np.repeat(some, len(flips))
+
+    def variants(self, bucket: int, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(owner, variants, within r flips) of the fingerprints, for variants in the bucket of this key."""
+        flip = self.keys(prints) ^ bucket
+        odd = np.bitwise_count(prints) % 2 == 1
         for groups, wanted, near in ((self.near, None, True), (self.far, odd, False)):
             for x in np.unique(flip).tolist():
                 if x in groups:
@@ -174,25 +215,53 @@ def near_links(prints: DataFrame, distance: int = 3) -> DataFrame:
     lead = min(24, max(4, ceil(log2(n / HOME)))) if n > HOME else 4
 
     ball = Ball(distance, lead)
+    split: dict[int, int] = {}  # bucket: parities that tell its parts apart
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buckets, owners = ball.destinations(batch.column("fingerprint").to_numpy().view(np.uint64))
+            buckets, variants = ball.counts(batch.column("fingerprint").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(variants)], names=["bucket", "n"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        balls = {extra: Ball(distance, lead, extra) for extra in set(split.values())}
+        hot = np.array(sorted(split), dtype=np.int64)
+
+        def rows(buckets: np.ndarray, parts: np.ndarray, owners: np.ndarray) -> Iterator[pa.RecordBatch]:
             for first in range(0, len(buckets), 100_000):
                 cut = slice(first, first + 100_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(buckets[cut].astype(np.int32)), pa.array(owners[cut].view(np.int64))],
-                    names=["bucket", "fingerprint"],
+                    [pa.array(buckets[cut].astype(np.int32)), pa.array(parts[cut].astype(np.int32)),
+                     pa.array(owners[cut].view(np.int64))],
+                    names=["bucket", "part", "fingerprint"],
                 )
 
+        for batch in batches:
+            buckets, owners = ball.destinations(batch.column("fingerprint").to_numpy().view(np.uint64))
+            whole = ~np.isin(buckets, hot)
+            yield from rows(buckets[whole], np.zeros(int(whole.sum()), dtype=np.int32), owners[whole])
+            buckets, owners = buckets[~whole], owners[~whole]
+            for b in np.unique(buckets).tolist():
+                for parts, own in balls[split[b]].parts(b, owners[buckets == b]):
+                    yield from rows(np.full(len(own), b), parts, own)
+
+    made: dict[int, Ball] = {}
+
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        bucket, part = (k.as_py() for k in key)
+        extra = split.get(bucket, 0)
+        if extra not in made:
+            made[extra] = Ball(distance, lead, extra)
         own = np.unique(rows.column("fingerprint").to_numpy()).view(np.uint64)
-        child, root = ball.links(key[0].as_py(), own)
+        child, root = made[extra].links(bucket << extra | part, own)
         return pa.table({"node": child.view(np.int64), "near": root.view(np.int64)})
 
+    bare = prints.select("fingerprint")
+    sizes = bare.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    for r in sizes.where(F.col("n") > AT_ONCE).collect():  # at most all variants / AT_ONCE rows
+        split[r["bucket"]] = min(len(PARITIES), ceil(log2(r["n"] / AT_ONCE)))
     return (
-        prints.select("fingerprint").mapInArrow(emit, "bucket int, fingerprint long")
-        .groupBy("bucket").applyInArrow(meet, "node long, near long")
+        bare.mapInArrow(emit, "bucket int, part int, fingerprint long")
+        .groupBy("bucket", "part").applyInArrow(meet, "node long, near long")
     )
 
 

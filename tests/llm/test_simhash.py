@@ -87,3 +87,42 @@ def test_representatives_keep_the_columns(odd_docs):
     assert kept.columns == odd_docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(10) == 1 and 11 not in ids and ids.count(None) == 2
+
+
+def test_a_bucket_of_edited_copies_is_split_into_bounded_groups(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centre = np.uint64(0xFEDCBA9876543210)
+    edits = [sum(1 << int(b) for b in rng.choice(40, rng.integers(0, 5), replace=False)) for _ in range(400)]
+    prints = np.unique(np.concatenate([centre ^ np.array(edits, dtype=np.uint64), rng.integers(0, 1 << 64, 50, dtype=np.uint64)]))
+    variants = sum(len(v) for b in range(16) for _, v, _ in simhash.Ball(3, 4).variants(b, prints))
+    largest = []
+
+    def spied(ball, key, own):
+        largest.append((sum(len(v) for _, v, _ in ball.variants(key, own)), len(own)))
+        return links(ball, key, own)
+
+    links = simhash.Ball.links
+    for distance in (1, 2, 3, 4):
+        whole, parts = simhash.Ball(distance, 4), simhash.Ball(distance, 4, 5)
+        assert sum(whole.counts(prints)[1]) == sum(len(v) for b in range(16) for _, v, _ in whole.variants(b, prints))
+        label, made = np.arange(len(prints)), 0
+        buckets, owners = whole.destinations(prints)
+        for b in np.unique(buckets).tolist():
+            rows = list(parts.parts(b, owners[buckets == b]))
+            part, own = (np.concatenate(x) for x in zip(*rows))
+            for one in np.unique(part).tolist():
+                child, root = spied(parts, b << 5 | one, np.unique(own[part == one]))
+                label = simhash._joined(label, np.searchsorted(prints, child), np.searchsorted(prints, root))
+                made += largest[-1][0]
+        assert made == sum(whole.counts(prints)[1])  # every variant is made once
+        assert label.tolist() == plain_components([int(p) for p in prints], list(range(len(prints))), distance)
+        if distance == 3:
+            assert max(n for n, _ in largest) < variants / 16
+
+    monkeypatch.setattr(simhash, "AT_ONCE", 4000)
+    frame = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fingerprint long")
+    found = simhash.near_links(frame, 3).collect()
+    order = {int(p): i for i, p in enumerate(prints.view(np.int64))}
+    label = simhash._joined(np.arange(len(prints)), np.array([order[r["node"]] for r in found]), np.array([order[r["near"]] for r in found]))
+    assert label.tolist() == plain_components([int(p) for p in prints], list(range(len(prints))), 3)
+    assert "part" in simhash.near_links(frame, 3)._jdf.queryExecution().analyzed().toString()
