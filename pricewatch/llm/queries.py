@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewatch.llm import chat, language, neighbours, oracles as sql, packing, piece_bpe, quality, sharding, simhash, suffix_dedup, toxicity
+from pricewatch.llm import chat, language, neighbours, oracles as sql, packing, piece_bpe, quality, sharding, simhash, spelling, suffix_dedup, toxicity
 from pricewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=4096)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # stands at the repository top
 
@@ -85,6 +89,7 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_chat": op9_chat,
         "op10_packing": op10_packing,
+        "op13_spelling": op13_spelling,
         "pipeline": pipeline,
     }
 
