@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewatch.llm import chat, language, neighbours, oracles as sql, packing, piece_bpe, quality, sharding, simhash, spelling, suffix_dedup, toxicity
+from pricewatch.llm import chat, language, neighbours, oracles as sql, packing, piece_bpe, quality, secrets, sharding, simhash, spelling, suffix_dedup, toxicity, whitening
 from pricewatch.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=4096)
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scans(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=32)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -89,6 +97,8 @@ def queries() -> dict[str, Query]:
         "op8_sharding": op8_sharding,
         "op9_chat": op9_chat,
         "op10_packing": op10_packing,
+        "op11_secrets": op11_secrets,
+        "op12_whitening": op12_whitening,
         "op13_spelling": op13_spelling,
         "pipeline": pipeline,
     }
