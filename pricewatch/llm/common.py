@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +75,39 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str) -> tuple
     return numbered, counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
 
 
+def flat_bytes(column: Any) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string or binary Arrow column one after another, and the offsets of its rows; null is empty."""
+    if column.null_count:
+        column = pc.fill_null(column, "" if pa.types.is_string(column.type) else b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return flat[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
+
+
+def byte_lengths(column: Any) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def slices(batch: Any, column: str, size: int = 1 << 22) -> Iterator[Any]:
+    """Parts of an Arrow batch whose strings in ``column`` have about ``size`` bytes together, one row at least."""
+    parts = np.cumsum(byte_lengths(batch.column(column))) // size
+    cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
+    for first, last in zip(cuts, cuts[1:]):
+        if last > first:
+            yield batch.slice(first, last - first)
+
+
+def release_memory() -> None:
+    """Hand memory that a finished task no longer uses back to the system; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class WordCache:
     """Results of a function of words, kept per process in two generations of bounded size.
 

@@ -19,60 +19,143 @@ texts of any length are encoded whole; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewatch.llm.common import WordCache, ranked, stored, tokenizer_file
+from pricewatch.llm.common import WordCache, byte_lengths, flat_bytes, ranked, release_memory, slices, stored, tokenizer_file
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-_CACHES: dict[str, WordCache] = {}
+#: Encoded words kept by a task, in each of two generations.
+CACHED_WORDS = 150_000
+_TOKENIZERS: dict[str, object] = {}
+# ASCII punctuation: where it follows an ASCII letter or digit, the tokenizer always cuts.
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SOLID = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+# Lower-case Latin letters: normalising changes none of them and no rule cuts between them.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
 
-def _cache(path: str) -> WordCache:
-    """Encoded words of a process: ids as little-endian 32-bit integers."""
-    if path not in _CACHES:
+def _byte_signs() -> list[str]:
+    """Sign of each byte in byte-level vocabularies: visible Latin-1 is itself, the rest follows from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]
+
+
+_SIGNS = str.maketrans({chr(b): sign for b, sign in enumerate(_byte_signs())})
+
+
+def _tokenizer(path: str):
+    """The tokenizer, read once per process."""
+    if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        _TOKENIZERS[path] = Tokenizer.from_file(path)
+    return _TOKENIZERS[path]
 
-        def encode(words: list[bytes]) -> list[bytes]:
-            encoded = tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
-        _CACHES[path] = WordCache(encode)
-    return _CACHES[path]
+def _cache(path: str) -> WordCache:
+    """Encoded words: ids as little-endian 32-bit integers."""
+    tokenizer = _tokenizer(path)
+
+    def encode(words: list[bytes]) -> list[bytes]:
+        texts = [w.decode() for w in words]
+        letters = [_LETTERS.fullmatch(t) is not None for t in texts]
+        others = [t for t, simple in zip(texts, letters) if not simple]
+        whole = iter(tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        merged = tokenizer.model.tokenize
+        return [
+            array("I", [t.id for t in merged(word.decode("latin-1").translate(_SIGNS))] if simple else next(whole).ids).tobytes()
+            for word, simple in zip(words, letters)
+        ]
+
+    return WordCache(encode, words=CACHED_WORDS)
+
+
+def _parts(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words as the tokenizer's lower-casing leaves them, cut before their last punctuation where that is
+    safe, and how many parts each became.
+
+    Words that may hold a marker of the vocabulary (``<|``) stay as they are.
+    """
+    marked = pc.match_substring(words, "<|")
+    low = pc.if_else(marked, words, pc.ascii_lower(words))
+    core = pc.if_else(marked, words, pc.ascii_rtrim(low, _PUNCTUATION))
+    size, solid = byte_lengths(core), np.zeros(len(words), dtype=bool)
+    flat, ends = flat_bytes(core)
+    some = size > 0
+    solid[some] = _SOLID[flat[ends[1:][some] - 1]]
+    core = pc.if_else(pa.array(solid), core, low)
+    cut = np.flatnonzero(byte_lengths(core) < byte_lengths(low))
+    long = low.take(pa.array(cut))
+    size = byte_lengths(long) - byte_lengths(core.take(pa.array(cut)))
+    flat, ends = flat_bytes(long)
+    data = flat[np.arange(int(size.sum())) + np.repeat(ends[1:] - np.cumsum(size), size)]
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    tails = pa.Array.from_buffers(pa.string(), len(cut), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    each = np.ones(len(words), dtype=np.int64)
+    each[cut] = 2
+    order = np.argsort(np.concatenate([np.arange(len(words)), cut + 0.5]), kind="stable")
+    return pa.concat_arrays([core, tails]).take(pa.array(order)), each
+
+
+def _encoded(texts: pa.Array, cache: WordCache) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts one after another, and the number of ids of each text.
+
+    The vocabulary drops white space, so words between ASCII spaces encode alone. Only the distinct
+    words of the texts are touched one by one; the ids of all words are gathered at once.
+    """
+    words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    parts, each = _parts(words.flatten())
+    row = np.repeat(row, each)
+    coded = parts.cast(pa.binary()).dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    found = cache.look_up(distinct)
+    ids = [found[w] for w in distinct]
+    size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    start = np.cumsum(size) - size
+    known = np.frombuffer(b"".join(ids), dtype="<u4")
+    which = coded.indices.to_numpy(zero_copy_only=False)
+    n = size[which]
+    place = np.arange(int(n.sum())) + np.repeat(start[which] - (np.cumsum(n) - n), n)
+    return known[place], np.bincount(row, n, len(texts)).astype(np.int64)
 
 
 def _tokenise_batches(path: str, capacity: int, end_id: int):
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(path)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
-                # the vocabulary drops white space, so words between ASCII spaces encode alone
-                words = [(t or "").encode().split() for t in part.column("text").to_pylist()]
-                found = cache.look_up(set().union(*words))
-                rows = []
-                for doc, row in zip(part.column("doc_id").to_pylist(), words):
-                    ids = b"".join([found[w] for w in row]) + end
-                    total = len(ids) // 4
-                    for start in range(0, total, capacity):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), total))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in zip(*rows)],
-                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
-                )
+        try:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    ids, sizes = _encoded(part.column("text"), cache)
+                    rows, at = [], 0
+                    for doc, n in zip(part.column("doc_id").to_pylist(), sizes.tolist()):
+                        own = ids[at : at + n].tobytes() + end
+                        at += n
+                        for start in range(0, n + 1, capacity):
+                            piece = own[4 * start : 4 * (start + capacity)]
+                            rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), n + 1))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, pa.int64()) for c in zip(*rows)],
+                        names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
+                    )
+        finally:
+            del cache
+            release_memory()
 
     return tokenise
 

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewatch.llm.common import stored
+from pricewatch.llm.common import flat_bytes, stored
 
 #: Letter groups, the levels of the trie.
 GROUPS = 12
@@ -68,16 +68,6 @@ _LETTER = _letters()
 _CRC = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], dtype=np.uint32)
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a string or binary column one after another, and the offsets of its rows; null is empty."""
-    if column.null_count:
-        column = pc.fill_null(column, "" if pa.types.is_string(column.type) else b"")
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return flat[offsets[0] : offsets[-1]], (offsets - offsets[0]).astype(np.int64)
-
-
 def _crc_step(crc: np.ndarray, byte: np.ndarray) -> np.ndarray:
     return _CRC[(crc ^ byte) & 0xFF] ^ (crc >> np.uint32(8))
 
@@ -136,7 +126,7 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     column = batch.column("text")
     ids = batch.column("doc_id").to_pylist()
     seeds = np.array([zlib.crc32(f"{'' if i is None else i}:".encode()) for i in ids], dtype=np.uint32)
-    flat, offsets = _flat(column)
+    flat, offsets = flat_bytes(column)
     at = 0
     while at < len(flat):
         to = min(at + _BYTES, len(flat))
@@ -187,7 +177,7 @@ def letter_groups(words: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(256, dtype=np.int64)
         for batch in batches:
-            seen += np.bincount(_flat(batch.column("raw"))[0], minlength=256)
+            seen += np.bincount(flat_bytes(batch.column("raw"))[0], minlength=256)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["letter", "n"])
 
@@ -255,7 +245,7 @@ def _opened(words: DataFrame, group: np.ndarray, most: int) -> dict[int, np.ndar
             for batch in batches:
                 for first in range(0, batch.num_rows, 4096):
                     part = batch.slice(first, 4096)
-                    vectors = _vectors(*_flat(part.column("raw")), group)
+                    vectors = _vectors(*flat_bytes(part.column("raw")), group)
                     found = [name for d, _, name, _ in _walk(vectors, opened, depth) if d == depth]
                     name, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(n)], names=["node", "n"])
@@ -275,7 +265,7 @@ def _travel(opened: dict[int, np.ndarray], group: np.ndarray):
         for batch in batches:
             for first in range(0, batch.num_rows, 4096):
                 part = batch.slice(first, 4096)
-                flat, offsets = _flat(part.column("raw"))
+                flat, offsets = flat_bytes(part.column("raw"))
                 ends = _ends(flat, offsets)
                 for depth, word, name, home in _walk(_vectors(flat, offsets, group), opened, 0):
                     side = np.full(len(word), -1, np.int8)
@@ -379,7 +369,7 @@ class _Letters:
 
     def __init__(self, raw: pa.Array) -> None:
         self.raw = raw
-        flat, offsets = _flat(raw)
+        flat, offsets = flat_bytes(raw)
         self.size = np.diff(offsets)
         self.block = np.zeros((len(raw), _WIDE + 1), dtype=np.uint8)
         row = np.repeat(np.arange(len(raw)), self.size)
@@ -424,7 +414,7 @@ def _meet(group: np.ndarray):
         raw, n = rows.column("raw").chunk(0), rows.column("n").to_numpy()
         side = rows.column("side").to_numpy()
         letters = _Letters(raw)
-        flat, offsets = _flat(raw)
+        flat, offsets = flat_bytes(raw)
         vectors = _vectors(flat, offsets, group)
         at_home = np.flatnonzero(rows.column("home").to_numpy(zero_copy_only=False))
         ends = _ends(flat, offsets) if (side == 1).any() else None
