@@ -98,6 +98,12 @@ def slices(batch: Any, column: str, size: int = 1 << 22) -> Iterator[Any]:
             yield batch.slice(first, last - first)
 
 
+def sliced(batches: Iterable, column: str) -> Iterator[Any]:
+    """``slices`` of every batch, so that only some megabytes of text are Python strings at once."""
+    for batch in batches:
+        yield from slices(batch, column)
+
+
 def release_memory() -> None:
     """Hand memory that a finished task no longer uses back to the system; workers outlive their tasks."""
     gc.collect()

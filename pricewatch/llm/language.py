@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewatch.llm.common import bucket
+from pricewatch.llm.common import bucket, release_memory, sliced
 
 UNDETERMINED = "und"
 GRAMS = 3
@@ -93,7 +93,7 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 def _frequency_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, docs = np.zeros(DIMENSIONS, dtype=np.int64), 0
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         for text in batch.column("text").to_pylist():
             seen = np.zeros(DIMENSIONS, dtype=bool)
             for grams in gram_blocks(letter_codes(text)):
@@ -107,7 +107,7 @@ def _frequency_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         features, values = [], []
         for text in batch.column("text").to_pylist():
             counts = np.zeros(DIMENSIONS, dtype=np.int64)
@@ -195,8 +195,8 @@ def train(docs: DataFrame, sample_rows: int = 3000, **penalties: float) -> Model
     share = F.lit(None)
     for name, n in sizes.items():
         share = F.when(F.col("lang") == name, min(1.0, sample_rows / len(languages) / n)).otherwise(share)
-    key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    sample = rows.withColumn("key", key).where(F.col("key") < share * (1 << 40))
+    key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))  # equal rows are one, whatever their number
+    sample = rows.withColumn("key", key).where(F.col("key") < share * (1 << 40)).dropDuplicates(["key", "lang"])
     sample = sample.select("key", "lang", "text").mapInArrow(
         _sample_batches, "key long, lang string, features array<int>, values array<float>"
     ).toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             names, scores = [], []
             for text in batch.column("text").to_pylist():
                 codes = letter_codes(text)
@@ -233,6 +233,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=["doc_id", "lang_pred", "score"],
             )
+        del table
+        release_memory()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -209,6 +209,8 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 0.0
         row = inverse[leaves] / change[leaves]
         inverse = inverse - np.outer(change, row)
         inverse[leaves] = row
+    else:
+        raise RuntimeError(f"the linear program is still {worth - 1:.4f} from its optimum after {step} columns")
     return columns.astype(np.int64), np.linalg.solve(columns, demand)
 
 

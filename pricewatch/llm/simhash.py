@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewatch.llm.common import stored
+from pricewatch.llm.common import sliced, stored
 from pricewatch.llm.components import roots
 
 BITS = 64
@@ -62,7 +62,7 @@ def fingerprint(text: str | None, words_per_shingle: int) -> int:
 
 def _fingerprint_batches(words_per_shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             prints = [fingerprint(t, words_per_shingle) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.array(prints, dtype=np.uint64).view(np.int64))],

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewatch.llm.common import stored
+from pricewatch.llm.common import sliced, stored
 from pricewatch.llm.suffix_array import permuted_common_prefixes, suffix_arrays
 
 #: Bytes of a text hashed at once; places in a block fit the low bits of a packed hash.
@@ -40,7 +40,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 #: Symbols of a shard: end, filling, separator, then the bytes.
 _FILL, _SEPARATOR, _BYTE = 1, 2, 3
 #: Symbols in a batch of shards, and different snippets in a shard that is not split.
-BATCH_SYMBOLS, SHARD_SNIPPETS = 3_000_000, 12
+BATCH_SYMBOLS, SHARD_SNIPPETS = 3_000_000, 3_000
 
 _ANCHORS = "id long, text_hash long, first int, last int, key long, snippet long"
 
@@ -239,6 +239,7 @@ def _split_runs(cut: DataFrame, counts: DataFrame, length: int) -> DataFrame:
     windows = windows.join(counts.select("key", "snippet", "n"), ["key", "snippet"])
     windows = stored(windows, "split-windows")
     often = windows.groupBy("key", "h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
+    often = stored(often, "frequent-windows")
     places = windows.join(often, ["key", "h1", "h2"]).groupBy("key", "snippet").agg(
         F.sort_array(F.collect_set("place")).alias("places")  # at most a snippet's windows
     )
@@ -258,11 +259,13 @@ def repeated_runs(docs: DataFrame, length: int = 400, gram: int = 128, id_col: s
     keys = anchors.groupBy("key").agg(
         F.count("*").alias("seen"), F.min("snippet").alias("_least"), F.max("snippet").alias("_most")
     ).where("seen > 1").select("key", (F.col("_least") != F.col("_most")).alias("differ"))
+    # stored first: both sides of the join are then plain exchanges, and a frequent key can be split
+    keys = stored(keys, "met-keys")
     met = stored(anchors.join(keys, "key"), "met-anchors")
     place = F.struct("id", "text_hash", "first", "last")
     counts = met.where("differ").groupBy("key", "snippet").agg(F.count("*").alias("n"), F.min(place).alias("place"))
     counts = stored(counts, "snippet-counts")
-    size = counts.groupBy("key").agg((F.count("*") > SHARD_SNIPPETS).alias("split"))
+    size = stored(counts.groupBy("key").agg((F.count("*") > SHARD_SNIPPETS).alias("split")), "shard-sizes")
     chosen = counts.join(size, "key").groupBy("place.id", "place.text_hash").agg(
         F.collect_list(F.struct("key", "snippet", "split", "place.first", "place.last")).alias("places")
     )  # at most the snippets of one text
@@ -321,7 +324,7 @@ def with_starts(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_c
 
 def _digest_batches(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "_text"):
             sizes, removed, counts, digests = [], [], [], []
             for text, starts in zip(batch.column("_text").to_pylist(), batch.column("_starts").to_pylist()):
                 data = text.encode()
@@ -340,11 +343,13 @@ def _digest_batches(length: int):
 
 
 def digests(docs: DataFrame, length: int = 400, gram: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What is removed from every row, and a digest of what is kept."""
+    """What is removed from every row, a digest of what is kept, the share removed and whether any is."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = with_starts(rows, repeated_runs(rows, length, gram))
     return marked.select("_doc.doc_id", "_text", "_starts").mapInArrow(
         _digest_batches(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    ).select(
+        "*", (F.col("n_removed") / F.greatest("n_bytes", F.lit(1))).alias("removed_share"), (F.col("n_spans") > 0).alias("is_cut")
     )
 
 

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewatch.llm.common import WordCache, bucket, stored
+from pricewatch.llm.common import WordCache, bucket, release_memory, sliced, stored
 
 END = "\x00"
 #: Shortest and longest prefix (with the end mark) that can be a term.
@@ -91,6 +91,10 @@ def _edits(length: int) -> int:
     return 2 if length >= 9 else 1 if length >= 5 else 0
 
 
+#: States of the automaton and words of the cache (in each of two generations) that a task keeps.
+MOST_STATES, CACHED_WORDS = 50_000, 100_000
+
+
 class Automaton:
     """Levenshtein automata intersected with the trie of the terms, made deterministic as needed."""
 
@@ -116,6 +120,10 @@ class Automaton:
                 self.whole[node] = number
             else:
                 self.stem[node] = number
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start again without states: they are made as words need them."""
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -166,6 +174,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[tuple[int, int], ...]:
         """(term, fewest edits) of every term the word, or its beginning for a stem, is close to."""
+        if len(self.sets) > MOST_STATES:
+            self._forget()
         best: dict[int, int] = {}
         state = self.start
         for letter in word:
@@ -223,7 +233,7 @@ class Matcher:
                     best[term] = min(edits, best.get(term, 99))
             return tuple(best.items())
 
-        self.cache = WordCache(lambda tokens: map(of_token, tokens))
+        self.cache = WordCache(lambda tokens: map(of_token, tokens), words=CACHED_WORDS)
 
     def hits(self, text: str | None) -> list[tuple[int, int, tuple[str, ...]]]:
         tokens = _TOKEN.findall(text or "")
@@ -241,7 +251,7 @@ class Matcher:
 
 def _toxic_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         for text in batch.column("text").to_pylist():
             counts.update(prefixes(text or ""))
     yield pa.RecordBatch.from_pydict({"node": list(counts), "docs": list(counts.values())})
@@ -250,7 +260,7 @@ def _toxic_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _clean_nodes(wanted: frozenset):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             for text in batch.column("text").to_pylist():
                 counts.update(wanted & prefixes(text or ""))
         yield pa.RecordBatch.from_arrays(
@@ -277,11 +287,20 @@ def _likelihood_ratio(toxic: int, clean: int, n_toxic: int, n_clean: int) -> flo
     )
 
 
+def _significant(tried: int) -> float:
+    return 2 * math.log(max(1, tried) / 0.05)
+
+
+def fewest_documents(tried: int, n_toxic: int, n_clean: int) -> int:
+    """Toxic documents that a node needs to be significant, were it in no clean one."""
+    return next((t for t in range(1, n_toxic + 1) if _likelihood_ratio(t, 0, n_toxic, n_clean) >= _significant(tried)), n_toxic + 1)
+
+
 def choose_terms(
-    toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least_odds: float, most_terms: int
+    toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least_odds: float, tried: int
 ) -> list[str]:
-    """Terms of the trie, strongest first."""
-    bound = 2 * math.log(max(1, len(toxic)) / 0.05)
+    """Terms of the trie, strongest first; the bound allows for all nodes that were ``tried``."""
+    bound = _significant(tried)
     strength = {}
     for node, t in toxic.items():
         if _log_odds(t, clean.get(node, 0), n_toxic, n_clean) >= least_odds:
@@ -289,7 +308,7 @@ def choose_terms(
     chosen: list[str] = []
     covered: set[str] = set()  # chosen nodes and what stands above them
     for node in sorted(strength, key=lambda n: (-strength[n], -len(n), n)):
-        if strength[node] < bound or len(chosen) == most_terms:
+        if strength[node] < bound:
             break
         beginnings = {node[:n] for n in range(SHORTEST, len(node) + 1)}
         if node not in covered and not beginnings.intersection(chosen):
@@ -301,7 +320,7 @@ def choose_terms(
 def _exact_batches(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             hits = [sorted({t for t, e, _ in matcher.hits(x) if e == 0}) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), pa.array(hits, pa.list_(pa.int32()))], names=["toxic", "terms"]
@@ -344,7 +363,7 @@ def _hit_batches(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms)
         counts: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
                 hits = matcher.hits(text)
                 best: dict[int, int] = {}
@@ -376,7 +395,7 @@ def shingles(text: str | None) -> np.ndarray:
 def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose texts are near copies share a band (``BAND`` minimum hashes of shingles), very likely."""
     seeds = np.random.default_rng(SHINGLE).integers(0, 1 << 64, BANDS * BAND, dtype=np.uint64)
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         bands = []
         for text in batch.column("text").to_pylist():
             own = shingles(text)
@@ -392,7 +411,7 @@ def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _copy_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose text is a near copy of ``_head_text``: shingles at a Jaccard similarity of ``ALIKE`` or more."""
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         alike = []
         for text, head in zip(batch.column("text").to_pylist(), batch.column("_head_text").to_pylist()):
             own, other = shingles(text), shingles(head)
@@ -401,14 +420,19 @@ def _copy_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("_row").filter(pa.array(alike, pa.bool_()))], names=["_row"])
 
 
-def _distinct_texts(sample: DataFrame) -> DataFrame:
-    """toxic, text: without the near copies of other texts of their label.
+def _distinct_texts(sample: DataFrame, most: dict[bool, int] | None = None) -> DataFrame:
+    """toxic, text: without the near copies of other texts of their label; at most about ``most`` texts each.
 
     Equal texts are one. A text goes only if it was compared whole with the first text of a band and
     found to be its near copy; the first text of every group of near copies stays.
     """
     texts = sample.select("toxic", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    texts = stored(texts.withColumn("_row", F.xxhash64("toxic", "text")), "toxicity-sampled-texts")
+    texts = stored(texts.withColumn("_row", F.xxhash64("toxic", "text")), "toxicity-labelled-texts")
+    n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()} if most else {}
+    if most and any(n.get(label, 0) > bound for label, bound in most.items()):  # a labelled id on very many rows
+        share = F.when(F.col("toxic"), most[True] / max(1, n.get(True, 0))).otherwise(most[False] / max(1, n.get(False, 0)))
+        draw = F.pmod(F.xxhash64("_row"), F.lit(1 << 40)) / float(1 << 40)
+        texts = stored(texts.where(draw < share), "toxicity-sampled-texts")
     bands = stored(texts.mapInArrow(_band_batches, "toxic boolean, _row long, _band long"), "toxicity-bands")
     heads = bands.groupBy("toxic", "_band").agg(F.min("_row").alias("_head"), F.count("*").alias("_n"))
     heads = stored(heads.where("_n > 1").drop("_n"), "toxicity-band-heads")
@@ -421,7 +445,7 @@ def _distinct_texts(sample: DataFrame) -> DataFrame:
 
 def train(
     docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows: int = 9000, least_odds: float = 3.0,
-    most_terms: int = 400, most_nodes: int = 200_000, misspelt: float = 0.02,
+    misspelt: float = 0.02,
 ) -> Model:
     """Model of the labelled documents; ``misspelt`` is the prior share of a term's misspelt hits."""
     known = labels.where("toxic is not null").select(F.col("doc_id").alias("_id"), (F.col("toxic") == 1).alias("toxic"))
@@ -432,19 +456,22 @@ def train(
     share = F.when(F.col("toxic"), min(1.0, toxic_rows / all_toxic)).otherwise(min(1.0, clean_rows / all_clean))
     draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) / float(1 << 40)
     picked = stored(known.where(draw < share), "toxicity-sample")  # at most about toxic_rows + clean_rows ids
+    most = {True: 2 * toxic_rows, False: 2 * clean_rows}
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sample = stored(_distinct_texts(texts.join(picked, texts["doc_id"] == picked["_id"])), "toxicity-texts")
+    sample = stored(_distinct_texts(texts.join(picked, texts["doc_id"] == picked["_id"]), most), "toxicity-texts")
     counted = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = counted.get(True, 0), counted.get(False, 0)
     if not n_toxic or not n_clean:
         return Model()
 
     nodes = sample.where("toxic").select("text").mapInArrow(_toxic_nodes, "node string, docs long")
-    nodes = nodes.groupBy("node").agg(F.sum("docs").alias("docs")).where("docs >= 3")
-    toxic = {r["node"]: r["docs"] for r in nodes.orderBy(F.desc("docs"), "node").limit(most_nodes).collect()}
+    nodes = stored(nodes.groupBy("node").agg(F.sum("docs").alias("docs")).where("docs >= 3"), "toxicity-nodes")
+    tried = nodes.count()
+    fewest = fewest_documents(tried, n_toxic, n_clean)  # a node of fewer is never significant
+    toxic = {r["node"]: r["docs"] for r in nodes.where(F.col("docs") >= fewest).collect()}
     clean_nodes = sample.where("not toxic").select("text").mapInArrow(_clean_nodes(frozenset(toxic)), "node string, docs long")
     clean = {r["node"]: r["docs"] for r in clean_nodes.groupBy("node").agg(F.sum("docs").alias("docs")).collect()}
-    terms = choose_terms(toxic, clean, n_toxic, n_clean, least_odds, most_terms)
+    terms = choose_terms(toxic, clean, n_toxic, n_clean, least_odds, tried)
 
     exact = sample.mapInArrow(_exact_batches(terms), "toxic boolean, terms array<int>").toArrow().to_pylist()
     clean_counts = Counter(t for r in exact if not r["toxic"] for t in r["terms"])
@@ -487,7 +514,7 @@ def evidence(hits: list[tuple[int, int, tuple[str, ...]]], model: Model) -> floa
 def _evidence_batches(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.terms)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             found = [evidence(matcher.hits(t), model) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), pa.array(found, pa.float64())], names=["toxic", "evidence"]
@@ -523,11 +550,13 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.terms)
-        for batch in batches:
-            found = [score_of(matcher.hits(t), model) for t in batch.column("text").to_pylist()]
+        for part in sliced(batches, "text"):
+            found = [score_of(matcher.hits(t), model) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"]
+                [part.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"]
             )
+        del matcher
+        release_memory()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
@@ -546,12 +575,14 @@ def learn(docs: DataFrame, labels: DataFrame, **options) -> Model:
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """Rows of ``docs`` that score below the threshold, with their own columns; nothing is shuffled."""
     model = learn(docs, labels, **options)
-    matchers: list[Matcher] = []
-
-    @F.pandas_udf("double")
-    def score(texts):
-        if not matchers:
-            matchers.append(Matcher(model.terms))
-        return texts.map(lambda t: score_of(matchers[0].hits(t if isinstance(t, str) else ""), model)).astype("float64")
 
-    return docs.where(score(F.col("text").cast("string")) < threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(model.terms)
+        for part in sliced(batches, "text"):
+            texts = part.column("text").cast(pa.string()).to_pylist()
+            fine = [score_of(matcher.hits(t), model) < threshold for t in texts]
+            yield part.filter(pa.array(fine, pa.bool_()))
+        del matcher
+        release_memory()
+
+    return docs.mapInArrow(run, docs.schema)

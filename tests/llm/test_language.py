@@ -36,3 +36,14 @@ def test_odd_rows_and_empty_tables(odd_docs, no_docs):
     assert language.predict(no_docs, model).count() == 0
     untaught = language.train(odd_docs.where("lang is null"))
     assert {r["lang_pred"] for r in language.predict(odd_docs, untaught).collect()} == {"und"}
+
+
+def test_rows_without_id_do_not_swell_the_sample(spark, monkeypatch):
+    rows = [(None if i % 3 == 0 else i, f"text number {i} of many", "en" if i % 2 else "de") for i in range(6000)]
+    rows += [(None, "the same text", "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    real = language.ftrl
+    monkeypatch.setattr(language, "ftrl", lambda fit, *a, **k: seen.append(len(fit)) or real(fit, *a, **k))
+    language.train(docs, sample_rows=300)
+    assert 100 < seen[0] < 400

@@ -9,13 +9,14 @@ from pricewatch.llm import queries, quality, simhash, suffix_dedup, toxicity
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1_simhash": ["doc_id", "fingerprint", "component_id"],
-    "op2_suffix": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op2_suffix": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_share", "is_cut"],
     "op3_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op4_neighbours": ["query_id", "rank", "vec_id", "score"],
     "op5_quality": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op6_language": ["doc_id", "held_out", "lang_pred", "score"],
     "op7_pieces": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op8_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op11_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers"],
     "op9_chat": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
 }
 

@@ -96,3 +96,30 @@ def test_shingles_of_odd_texts():
     assert toxicity.shingles(None).tolist() == toxicity.shingles(" \n").tolist()
     assert len(toxicity.shingles("a b c")) == 1 and len(toxicity.shingles("a b c d e f")) == 2
     assert len(toxicity.shingles("\ud800 x")) == 1
+
+
+def test_one_labelled_id_on_many_rows_stays_within_the_sample(spark):
+    rows = [(1, f"vile{i} vicious{i} words {i}") for i in range(800)] + [(2, f"kind words {i}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    joined = docs.join(labels, "doc_id").select(docs["doc_id"].alias("_id"), (labels["toxic"] == 1).alias("toxic"), "text")
+    got = toxicity._distinct_texts(joined, {True: 100, False: 200}).groupBy("toxic").count().collect()
+    found = {r["toxic"]: r["count"] for r in got}
+    assert 50 < found[True] < 160 and 120 < found[False] < 290
+
+
+def test_nodes_left_on_spark_could_never_be_significant():
+    tried, n_toxic, n_clean = 5000, 300, 900
+    fewest = toxicity.fewest_documents(tried, n_toxic, n_clean)
+    assert 3 < fewest < 40
+    for t in (fewest - 1, fewest):
+        chosen = toxicity.choose_terms({"word": t}, {}, n_toxic, n_clean, 0.0, tried)
+        assert chosen == (["word"] if t >= fewest else [])
+
+
+def test_states_are_forgotten_and_made_again(monkeypatch):
+    words = ["terrible", "terrable", "horrible", "horibel", "nothing", "terribly", "x"] * 3
+    want = [toxicity.Automaton(["terrible", "horrible"]).match(w) for w in words]
+    monkeypatch.setattr(toxicity, "MOST_STATES", 5)
+    automaton = toxicity.Automaton(["terrible", "horrible"])
+    assert [automaton.match(w) for w in words] == want and len(automaton.sets) < 40
