@@ -451,6 +451,21 @@ where corrected > 0 or day(anchor_date) >= 24""",
         select="""
 select series_id, scope, model, horizon, anchor_date from required
 where not (horizon = 'short' and model = 'arima')""",
+    )
+    out["fit_table_invalidate"] = query(
+        sql.PRICE_OBS_SUPPLIER,
+        sql.HORIZON_CFG,
+        sql.WINDOW_CFG,
+        """held as (
+  select series_id, 'operational' as scope, horizon, max(date) as anchor_date
+  from price_obs_supplier join horizon_cfg on date <= train_end group by series_id, horizon
+  union all
+  select series_id, 'backtest', horizon, max(date)
+  from price_obs_supplier join window_cfg on date <= train_end group by series_id, horizon)""",
+        select="""
+select series_id, scope, 'hybrid' as model, horizon, anchor_date, cast(28 as int) as n_params from held
+where not (scope = 'backtest' and horizon = 'short')
+  and not (horizon = 'long' and anchor_date = date '2001-07-31')""",
     )
     out["export_csv"] = query(
         *operational,

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewatch import schemas
 from pricewatch.catalog.fixture import SETTINGS
 from pricewatch.functions import numeric, scoring
 from pricewatch.functions.cleaning import parse_day_first
@@ -19,9 +20,10 @@ from pricewatch.operators import (
     sarima,
     seasonal_map,
     sinks,
+    versions,
 )
 from pricewatch.operators.regularise import segments
-from pricewatch.plans import evaluation, forecasting, report, risk
+from pricewatch.plans import evaluation, fit_reuse, forecasting, report, risk
 from pricewatch.session import new_table_path
 from pricewatch.sources import panels
 from pricewatch.streaming import ingest
@@ -317,10 +319,6 @@ def risk_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded_risk(rows).drop("breakdown", "seasonal_deviation")
 
 
-def _seed_level(value: Column) -> Column:
-    return scoring.level(value)
-
-
 def risk_history_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as stored risk rows."""
     events = panels.table(spark, sf_dir, "events")
@@ -333,7 +331,7 @@ def risk_history_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("ts").alias("date"),
         horizon.alias("horizon"),
         score.alias("risk_score"),
-        _seed_level(score).alias("risk_level"),
+        scoring.level(score).alias("risk_level"),
         F.lit("stable").alias("direction"),
         (F.col("value") / 7).alias("fdi_value"),
         F.when(F.col("value") > 1, F.col("value") / 3).alias("vol_ratio"),
@@ -412,17 +410,18 @@ def _required(obs: DataFrame) -> DataFrame:
     )
 
 
+def _before_correction(obs: DataFrame) -> DataFrame:
+    """The panel as it was before the prices of 1999-12-31 were corrected."""
+    corrected = F.col("date") == F.lit("1999-12-31").cast("date")
+    return obs.withColumn("price", F.when(corrected, F.col("price") + 1).otherwise(F.col("price")))
+
+
 def _stored_fits(obs: DataFrame) -> DataFrame:
-    """Fits of the panel as it was before the prices of 1999-12-31 were corrected.
+    """Fits of the panel before its correction.
 
     The age of a fit in hours is the day of the month of its anchor date.
     """
-    before = obs.withColumn(
-        "price",
-        F.when(
-            F.col("date") == F.lit("1999-12-31").cast("date"), F.col("price") + 1
-        ).otherwise(F.col("price")),
-    )
+    before = _before_correction(obs)
     age = F.make_dt_interval(hours=F.dayofmonth("anchor_date"))
     return _required(before).withColumn("fitted_at", F.lit(NOW).cast("timestamp") - age)
 
@@ -441,6 +440,38 @@ def fit_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def forecast_from_stored_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecast from a fit table that had corrected, aged, deleted and usable rows.
+
+    The fits of the mid horizon were deleted; the others are as old, in hours, as the day of the month of
+    their last training row, so some are beyond the age limit.
+    """
+    obs = panels.price_obs_edge(spark, sf_dir)
+    path = new_table_path(spark, "fits")
+    age = F.make_dt_interval(hours=F.dayofmonth("anchor_date"))
+    fit_reuse.refresh(
+        _before_correction(obs), path, NOW, SETTINGS, fitted_at=F.lit(NOW).cast("timestamp") - age
+    )
+    fit_reuse.invalidate(spark, path, horizon="mid")
+    fit_reuse.refresh(obs, path, NOW, SETTINGS)
+    forecast = fit_reuse.forecast_from_stored_fits(spark, path, SETTINGS)
+    return _round(forecast, 2, "yhat", "yhat_lower", "yhat_upper")
+
+
+def fit_table_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a fit table holds after deletions by horizon and by key, read back."""
+    obs = panels.price_obs_supplier(spark, sf_dir)
+    path = new_table_path(spark, "fits")
+    fit_reuse.refresh(obs, path, NOW, SETTINGS, fit_reuse.BACKTEST)
+    fit_reuse.refresh(obs, path, NOW, SETTINGS)
+    fit_reuse.invalidate(spark, path, horizon="short", scope=fit_reuse.BACKTEST)
+    fit_reuse.invalidate(spark, path, horizon="long", anchor_date=datetime(2001, 7, 31).date())
+    held = versions.read(spark, path, schemas.MODEL_PARAMS)
+    return held.select(
+        "series_id", "scope", "model", "horizon", "anchor_date", F.size("params").alias("n_params")
+    )
+
+
 def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long forecast as CSV, read back."""
     forecast = forecasting.forecast_operational(panels.price_obs(spark, sf_dir), SETTINGS)

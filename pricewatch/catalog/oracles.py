@@ -320,6 +320,7 @@ select s.series_id, s.horizon, 'hybrid' as model, cast(h as int) as step, foreca
        cast(s.train_end - s.last_date as int) as origin_gap_days
 from s""" + SEASONS,
     )
+    out["forecast_from_stored_fits"] = out["forecast_operational"]
     out["backtest_forecast"] = query(
         sql.PRICE_OBS_MARKET,
         sql.daily("daily", "price_obs_market"),

@@ -74,6 +74,8 @@ def queries() -> dict[str, Query]:
         "risk_cards": jobs.risk_cards,
         "refit_needed": jobs.refit_needed,
         "fit_invalidate": jobs.fit_invalidate,
+        "forecast_from_stored_fits": jobs.forecast_from_stored_fits,
+        "fit_table_invalidate": jobs.fit_table_invalidate,
         "export_csv": jobs.export_csv,
         "stream_upsert": jobs.stream_upsert,
         "sarima_forecast": jobs.sarima_forecast,

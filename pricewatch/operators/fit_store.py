@@ -24,24 +24,30 @@ def required_fits(
     """One row per fit: its key, with the last training date and a digest of the input.
 
     The digest covers every training row, so a corrected price makes a new key
-    even when the last date stays the same. It does not depend on row order.
+    even when the last date stays the same. It does not depend on row order. All
+    cut-offs come from one aggregation of the panel; rows are not multiplied.
     """
-    names = F.array(*[F.lit(m) for m in models])
-    return (
-        calendar.training_rows(obs, horizons, settings)
-        .groupBy("series_id", "horizon")
-        .agg(
-            F.max("date").alias("anchor_date"),
-            F.bit_xor(F.xxhash64("date", "price")).alias("input_digest"),
-        )
-        .select(
-            "series_id",
-            F.lit(scope).alias("scope"),
-            F.explode(names).alias("model"),
-            "horizon",
-            "anchor_date",
-            "input_digest",
+    items = tuple(horizons)
+    day, row = F.col("date"), F.xxhash64("date", "price")
+    cuts = sorted({h.train_end for h in items})
+    inputs = [
+        F.struct(
+            F.lit(cut).alias("train_end"),
+            F.max(F.when(day <= F.lit(cut), day)).alias("anchor_date"),
+            F.bit_xor(F.when(day <= F.lit(cut), row)).alias("input_digest"),
         )
+        for cut in cuts
+    ]
+    per_cut = obs.groupBy("series_id").agg(F.array(*inputs).alias("_cuts"))
+    per_cut = per_cut.select("series_id", F.explode("_cuts").alias("_c")).select("series_id", "_c.*")
+    found = calendar.horizons_of_cut(per_cut.filter(F.col("anchor_date").isNotNull()), items, settings)
+    return found.select(
+        "series_id",
+        F.lit(scope).alias("scope"),
+        F.explode(F.array(*[F.lit(m) for m in models])).alias("model"),
+        "horizon",
+        "anchor_date",
+        "input_digest",
     )
 
 

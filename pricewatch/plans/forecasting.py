@@ -154,7 +154,11 @@ def forecast_operational(obs: DataFrame, settings: Settings = DEFAULT) -> DataFr
     The labels ignore where the training rows end, so a trimmed or short series
     is forecast under shifted dates; ``origin_gap_days`` tells by how much.
     """
-    rows = calendar.with_steps(operational_fits(obs, settings))
+    return operational_rows(calendar.with_steps(operational_fits(obs, settings)))
+
+
+def operational_rows(rows: DataFrame) -> DataFrame:
+    """Forecast rows of fitted parameters, one per step."""
     gap = F.datediff("train_end", "last_date").alias("origin_gap_days")
     return _select(rows, "hybrid", F.col("step"), calendar.label(F.col("step")), gap)
 
