@@ -331,4 +331,5 @@ select s.series_id, s.horizon, 'hybrid' as model, cast(s.step as int) as step, f
        round({BLEND_UPPER}, 2) as yhat_upper
 from s""" + SEASONS,
     )
+    out["forecast_from_blocks"] = out["backtest_forecast"]
     return out

@@ -75,6 +75,7 @@ def queries() -> dict[str, Query]:
         "refit_needed": jobs.refit_needed,
         "fit_invalidate": jobs.fit_invalidate,
         "forecast_from_stored_fits": jobs.forecast_from_stored_fits,
+        "forecast_from_blocks": jobs.forecast_from_blocks,
         "fit_table_invalidate": jobs.fit_table_invalidate,
         "export_csv": jobs.export_csv,
         "stream_upsert": jobs.stream_upsert,

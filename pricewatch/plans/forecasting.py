@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pricewatch.config import DEFAULT, Settings
 from pricewatch.functions import literals
-from pricewatch.operators import calendar, closed_form, flat_tail, sarima, seasonal_map
+from pricewatch.operators import calendar, closed_form, flat_tail, moment_blocks, sarima, seasonal_map
 from pricewatch.operators.regularise import (
     Filling,
     explode_days,
@@ -175,7 +175,18 @@ def forecast_backtest(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame
     The models count steps from the last training row. Test days beyond their
     last step have no forecast and stay null.
     """
-    rows = calendar.with_steps(backtest_fits(obs, settings))
+    return backtest_rows(calendar.with_steps(backtest_fits(obs, settings)))
+
+
+def forecast_backtest_from_blocks(blocks: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """:func:`forecast_backtest` from moment blocks; no day of the panel is read."""
+    cuts = [w.train_end for w in settings.eval_windows]
+    fits = moment_blocks.fits(blocks, cuts, filling(settings))
+    return backtest_rows(calendar.with_steps(calendar.horizons_of_cut(fits, settings.eval_windows, settings)))
+
+
+def backtest_rows(rows: DataFrame) -> DataFrame:
+    """Forecast rows of fitted parameters on the test calendar, one per step."""
     day = calendar.label(F.col("step"))
     ahead = F.datediff(day, "last_date")
     known = (ahead >= 1) & (ahead <= F.col("steps"))
