@@ -39,8 +39,10 @@ _BLOCK, _PLACE_BITS = 1 << 16, 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Symbols of a shard: end, filling, separator, then the bytes.
 _FILL, _SEPARATOR, _BYTE = 1, 2, 3
-#: Symbols in a batch of shards, and different snippets in a shard that is not split.
-BATCH_SYMBOLS, SHARD_SNIPPETS = 3_000_000, 3_000
+#: Symbols in a batch of shards, and different snippets in a shard that is not split. The induction walks a
+#: shard's places one after another, for all shards of a batch at once: a symbol costs 2 microseconds in
+#: shards of 12 snippets, 4 in shards of 32, 7 in shards of 64 and 21 in shards of 256.
+BATCH_SYMBOLS, SHARD_SNIPPETS = 3_000_000, 32
 
 _ANCHORS = "id long, text_hash long, first int, last int, key long, snippet long"
 

@@ -58,7 +58,7 @@ def test_random_texts_with_shared_passages(spark, monkeypatch):
     texts += [prose(5) + " " + rng.choice(passages) + " " + prose(9) for _ in range(60)]  # more than one shard holds
     texts += ["ab" * 60, "a" * 200, "a" * 39, passages[3] * 3, texts[0], texts[0], None, "", texts[1][:45]]
     docs = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    for most in (suffix_dedup.SHARD_SNIPPETS, 12):  # whole shards, and keys split by content
+    for most in (1000, suffix_dedup.SHARD_SNIPPETS, 12):  # whole shards, and keys split by content
         monkeypatch.setattr(suffix_dedup, "SHARD_SNIPPETS", most)
         compared(docs, 40, 13)
 
