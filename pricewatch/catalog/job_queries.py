@@ -16,7 +16,6 @@ from pricewatch.operators import (
     clean,
     fit_store,
     merge,
-    metrics,
     moment_blocks,
     sarima,
     seasonal_map,
@@ -219,9 +218,7 @@ def _rounded_metrics(df: DataFrame) -> DataFrame:
 
 
 def backtest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = panels.price_obs_supplier(spark, sf_dir)
-    pairs = metrics.align_by_date(forecasting.forecast_backtest(obs, SETTINGS), obs)
-    return _rounded_metrics(metrics.evaluate(pairs, ("series_id", "horizon")))
+    return _rounded_metrics(evaluation.backtest_metrics(panels.price_obs_supplier(spark, sf_dir), SETTINGS))
 
 
 def backtest_metrics_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,7 +386,7 @@ def forecast_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = forecasting.place(panels.price_obs(spark, sf_dir))
     lines = report.timeline(
-        report.chart_prices(obs, SETTINGS.chart_range),
+        report.placed_chart_prices(obs, SETTINGS.chart_range),
         forecasting.forecast_backtest(obs, SETTINGS),
         forecasting.forecast_operational(obs, SETTINGS),
     )
@@ -398,7 +395,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forecast_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = forecasting.place(panels.price_obs(spark, sf_dir))
-    return report.forecast_summary(forecasting.forecast_backtest(obs, SETTINGS), obs)
+    return report.backtest_summary(obs, SETTINGS)
 
 
 def risk_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -553,6 +550,4 @@ def forecast_operational_searched(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def backtest_searched_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = panels.price_obs(spark, sf_dir)
-    pairs = metrics.align_by_date(forecasting.forecast_backtest_searched(obs, SETTINGS), obs)
-    return _rounded_metrics(metrics.evaluate(pairs, ("series_id", "horizon")))
+    return _rounded_metrics(evaluation.backtest_searched_metrics(panels.price_obs(spark, sf_dir), SETTINGS))

@@ -32,11 +32,12 @@ def filling(settings: Settings = DEFAULT) -> Filling:
 def place(obs: DataFrame) -> DataFrame:
     """The panel in partitions by series, for plans that read it more than once.
 
-    Rows without a series are no rows of any series. Dropping them here keeps
-    the filter that joins would infer from making the two reads differ.
+    Rows without a series or a date are no rows of any series. Dropping them
+    here keeps the filters that joins and cut-offs would infer from making the
+    reads differ.
     """
     return (
-        obs.filter(F.col("series_id").isNotNull())
+        obs.filter(F.col("series_id").isNotNull() & F.col("date").isNotNull())
         .select("series_id", "date", "price")
         .repartition("series_id")
     )
@@ -206,7 +207,7 @@ def _searched_paths(train: DataFrame, fill: Filling, steps: int) -> DataFrame:
         F.lit(steps).alias("steps"),
     )
     seasonal = seasonal_map.fit_seasonal_map(rows, CUT_KEYS)
-    return arima.join(seasonal, list(CUT_KEYS))
+    return seasonal.join(arima, list(CUT_KEYS), "left")  # a failed search leaves its path empty
 
 
 def _stepped(paths: DataFrame, ahead: Column) -> DataFrame:
@@ -238,11 +239,16 @@ def forecast_operational_searched(obs: DataFrame, settings: Settings = DEFAULT)
     return _stepped(rows, F.col("step"))
 
 
-def forecast_backtest_searched(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """:func:`forecast_backtest` with searched orders and changepoints."""
+def backtest_paths(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Paths of both larger models per series and backtest window."""
     train = _cut_segments(obs, settings.eval_windows, settings)
     paths = _searched_paths(train, filling(settings), max(w.days for w in settings.eval_windows))
-    rows = calendar.horizons_of_cut(paths, settings.eval_windows, settings)
+    return calendar.horizons_of_cut(paths, settings.eval_windows, settings)
+
+
+def forecast_backtest_searched(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """:func:`forecast_backtest` with searched orders and changepoints."""
+    rows = backtest_paths(obs, settings)
     ahead = F.datediff(calendar.label(F.col("step")), "last_date")
     known = (ahead >= 1) & (ahead <= F.col("steps"))
     return _stepped(rows, F.when(known, ahead)).drop("origin_gap_days")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from pricewatch.config import DEFAULT, Settings
 from pricewatch.functions.numeric import half_even
-from pricewatch.operators import metrics, rolling
-from pricewatch.plans import forecasting, risk
+from pricewatch.operators import calendar, metrics, rolling
+from pricewatch.plans import evaluation, forecasting, risk
 
 LINES = (
     "actual",
@@ -31,6 +31,17 @@ def chart_prices(obs: DataFrame, chart_range: tuple[date, date]) -> DataFrame:
     )
 
 
+def placed_chart_prices(placed: DataFrame, chart_range: tuple[date, date]) -> DataFrame:
+    """:func:`chart_prices` of a placed panel that others read too.
+
+    The range is a condition on an exploded value: it stays above the exchange, which is then the same
+    for all readers.
+    """
+    start, end = chart_range
+    inside = F.when(F.col("date").between(F.lit(start), F.lit(end)), F.array(F.struct("date", "price")))
+    return placed.select("series_id", F.explode(inside).alias("_p")).select("series_id", "_p.date", "_p.price")
+
+
 def timeline(prices: DataFrame, backtest: DataFrame, operational: DataFrame) -> DataFrame:
     """All chart lines on the union of their dates, null where a line has no value.
 
@@ -88,6 +99,27 @@ def forecast_summary(backtest: DataFrame, obs: DataFrame) -> DataFrame:
     )
 
 
+def backtest_summary(placed: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """:func:`forecast_summary` of a placed panel, read once.
+
+    Both numbers come from the same fits:
+    the average over their steps, the error over the test days of the panel.
+    """
+    fits = forecasting.backtest_fits(placed, settings)
+    steps = forecasting.backtest_rows(calendar.with_steps(fits)).select(
+        "series_id", "horizon", F.lit(None).cast("double").alias("price"), "yhat", "forecast_date", F.lit(True).alias("is_step")
+    )
+    days = evaluation.dated_pairs(placed, fits, settings).select(
+        "series_id", "horizon", "price", "yhat", F.lit(None).cast("date").alias("forecast_date"), F.lit(False).alias("is_step")
+    )
+    error = metrics.mape(F.col("price"), F.col("yhat"))
+    return steps.unionByName(days).groupBy("series_id", "horizon").agg(
+        F.coalesce(half_even(F.avg(F.when(F.col("is_step"), F.col("yhat"))), 2), F.lit(0.0)).alias("avg_forecast"),
+        metrics.mape_or_zero(error).alias("mape"),
+        F.min("forecast_date").alias("forecast_start"),
+    )
+
+
 def risk_cards(rows: DataFrame) -> DataFrame:
     """Card per series and horizon from risk rows."""
     return rows.select(
@@ -116,7 +148,7 @@ def latest_risk(history: DataFrame) -> DataFrame:
 def dashboard(obs: DataFrame, settings: Settings = DEFAULT) -> dict[str, DataFrame]:
     """Every frame of the dashboard, from one placed panel. All are lazy."""
     placed = forecasting.place(obs)
-    prices = chart_prices(placed, settings.chart_range)
+    prices = placed_chart_prices(placed, settings.chart_range)
     backtest = forecasting.forecast_backtest(placed, settings)
     operational = forecasting.forecast_operational(placed, settings)
     start, end = settings.chart_range
@@ -131,7 +163,7 @@ def dashboard(obs: DataFrame, settings: Settings = DEFAULT) -> dict[str, DataFra
         "prices": prices,
         "timeline": timeline(prices, backtest, operational),
         "volatility": rolling.volatility_series(placed, start, end),
-        "summary": forecast_summary(backtest, placed),
+        "summary": backtest_summary(placed, settings),
         "forecast": operational,
         "risk": assessed,
         "cards": risk_cards(assessed),

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from pricewatch.catalog import registry
 from pricewatch.catalog.fixture import SETTINGS
-from pricewatch.plans import forecasting, report, risk
+from pricewatch.plans import evaluation, forecasting, report, risk
 from pricewatch.sources import panels
 
 SF = "/root/testdata/sf0.001"
@@ -74,6 +74,42 @@ def test_forecasts_exchange_the_panel_once(spark, tmp_path):
     assert "Join" not in text and "ReadSchema: struct<series_id:string,date:date,price:double>" in text
 
 
+def final_plan(df):
+    df.collect()
+    return plan(df).split("Initial Plan")[0]
+
+
+@pytest.mark.parametrize(
+    "job",
+    [
+        lambda o: evaluation.backtest_metrics(o, SETTINGS),
+        lambda o: report.backtest_summary(forecasting.place(o), SETTINGS),
+        lambda o: evaluation.compare_models(o, SETTINGS),
+        lambda o: evaluation.compare_log_variants(o, SETTINGS),
+    ],
+    ids=["backtest_metrics", "backtest_summary", "compare_models", "compare_log_variants"],
+)
+def test_evaluations_read_the_panel_once(spark, tmp_path, job):
+    path = str(tmp_path / "obs")
+    panels.price_obs(spark, SF).write.parquet(path)
+    text = final_plan(job(spark.read.parquet(path)))
+    assert len(re.findall(r"\bFileScan parquet\b|Scan parquet", text)) == 1
+    assert len(re.findall(r"\+- Exchange hashpartitioning", text)) == 1
+
+
+def test_timeline_reads_the_panel_once(spark, tmp_path):
+    path = str(tmp_path / "obs")
+    panels.price_obs(spark, SF).write.parquet(path)
+    obs = forecasting.place(spark.read.parquet(path))
+    lines = report.timeline(
+        report.placed_chart_prices(obs, SETTINGS.chart_range),
+        forecasting.forecast_backtest(obs, SETTINGS),
+        forecasting.forecast_operational(obs, SETTINGS),
+    )
+    text = final_plan(lines)
+    assert len(re.findall(r"Scan parquet", text)) == 1
+
+
 def test_risk_reads_one_exchange(spark, tmp_path):
     path = str(tmp_path / "obs")
     panels.price_obs(spark, SF).write.parquet(path)

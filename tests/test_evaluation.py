@@ -71,3 +71,20 @@ def test_summary_without_overlap_is_zero(spark):
     row = report.forecast_summary(forecast, empty).collect()[0]
     assert (row["avg_forecast"], row["mape"]) == (5.0, 0.0)
     assert row["forecast_start"] == dt.date(2020, 1, 1)
+
+
+def test_window_of_zeros_takes_the_second_model(spark, price_frame):
+    """Every percentage error is undefined there; a failed model still leaves no winner."""
+    rows = [
+        ("s", "short", "arima", 1.0, None), ("s", "short", "seasonal", 9.0, None),
+        ("s", "mid", "arima", 1.0, 5.0), ("s", "mid", "seasonal", None, None),
+    ]
+    won = {r["horizon"]: r["winner"] for r in evaluation.winner(spark.createDataFrame(rows, RESULT), "arima", "seasonal").collect()}
+    assert won == {"short": "seasonal", "mid": None}
+    values = [100.0 + i % 7 for i in range(701)] + [0.0] * 31
+    obs = price_frame(values, start="2023-12-31")  # the last days are the short window
+    results = evaluation.compare_models(obs)
+    short = [r for r in results.collect() if r["horizon"] == "short"]
+    assert all(r["mape"] is None and r["rmse"] is not None and r["n"] == 31 for r in short) and len(short) == 2
+    won = {r["horizon"]: r["winner"] for r in evaluation.winner(results, "arima", "seasonal").collect()}
+    assert won["short"] == "seasonal"
