@@ -186,6 +186,30 @@ _REQUIRED = """required as (
   group by series_id, model, horizon)"""
 
 
+def dashboard_payload(found: dict[str, str]) -> str:
+    """Figures of every series from the checks of the single frames."""
+    def total(column: str) -> str:
+        return f"round(sum(coalesce({column}, 0)), 1) as {column}"
+
+    lines = ", ".join(total(c) for c in ("actual", "mid_eval", "long_prod", "long_lower"))
+    return f"""with lines as ({found["timeline"]}),
+spread as ({found["volatility_chart"]}),
+summary as ({found["forecast_summary"]}),
+cards as ({found["risk_cards"]}),
+per_line as (select series_id, cast(count(*) as int) as n_days, {lines} from lines group by series_id),
+per_spread as (
+  select series_id, cast(count(*) as int) as n_volatility, {total("volatility")} from spread group by series_id),
+per_forecast as (select series_id, cast(sum(case horizon when 'short' then 30 when 'mid' then 180 else 365 end) as int)
+  as n_forecast from cards group by series_id)
+select l.series_id, n_days, actual, mid_eval, long_prod, long_lower, n_volatility, volatility, n_forecast,
+       m.mape as mape_mid, g.avg_forecast as avg_long, c.risk_score as risk_short, d.risk_message as message_long
+from per_line l join per_spread using (series_id) join per_forecast using (series_id)
+left join summary m on m.series_id = l.series_id and m.horizon = 'mid'
+left join summary g on g.series_id = l.series_id and g.horizon = 'long'
+left join cards c on c.series_id = l.series_id and c.horizon = 'short'
+left join cards d on d.series_id = l.series_id and d.horizon = 'long'"""
+
+
 def oracles() -> dict[str, str]:
     out: dict[str, str] = {}
     out["clean_upload"] = query(

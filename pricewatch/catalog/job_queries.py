@@ -398,6 +398,31 @@ def forecast_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.backtest_summary(obs, SETTINGS)
 
 
+def dashboard_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures read from the nested payload of every series."""
+    rows = report.payload(panels.price_obs(spark, sf_dir), SETTINGS)
+
+    def total(part: str, field: str, digits: int) -> Column:
+        values = F.transform(part, lambda r: F.coalesce(F.round(r[field], digits), F.lit(0.0)))
+        return F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), 1)
+
+    def of(part: str, horizon: str, field: str) -> Column:
+        return F.get(F.filter(part, lambda r: r["horizon"] == horizon), F.lit(0))[field]
+
+    return rows.select(
+        "series_id",
+        F.size("timeline").alias("n_days"),
+        *[total("timeline", line, 2).alias(line) for line in ("actual", "mid_eval", "long_prod", "long_lower")],
+        F.size("volatility").alias("n_volatility"),
+        total("volatility", "volatility", 4).alias("volatility"),
+        F.size("forecast").alias("n_forecast"),
+        of("summary", "mid", "mape").alias("mape_mid"),
+        of("summary", "long", "avg_forecast").alias("avg_long"),
+        of("cards", "short", "risk_score").alias("risk_short"),
+        of("cards", "long", "risk_message").alias("message_long"),
+    )
+
+
 def risk_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.risk_cards(_assess(panels.price_obs(spark, sf_dir)))
 

@@ -72,6 +72,7 @@ def queries() -> dict[str, Query]:
         "timeline": jobs.timeline,
         "forecast_summary": jobs.forecast_summary,
         "risk_cards": jobs.risk_cards,
+        "dashboard_payload": jobs.dashboard_payload,
         "refit_needed": jobs.refit_needed,
         "fit_invalidate": jobs.fit_invalidate,
         "forecast_from_stored_fits": jobs.forecast_from_stored_fits,
@@ -87,4 +88,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracles() -> dict[str, str]:
-    return {**base_oracles.oracles(), **job_oracles.oracles()}
+    found = {**base_oracles.oracles(), **job_oracles.oracles()}
+    return {**found, "dashboard_payload": job_oracles.dashboard_payload(found)}

@@ -229,109 +229,151 @@ def _difference_weights(d: int, seasonal_d: int) -> np.ndarray:
     return poly
 
 
+def _stacked_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solutions of stacked systems; a singular one gets NaN and leaves the others alone."""
+    try:
+        return np.linalg.solve(a, b[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        out = np.full(b.shape, np.nan)
+        for i in range(len(a)):
+            try:
+                out[i] = np.linalg.solve(a[i], b[i])
+            except np.linalg.LinAlgError:
+                continue
+        return out
+
+
 def _moments(gamma: np.ndarray, long: int = LONG_AR) -> tuple[np.ndarray, np.ndarray]:
-    """Second moments of (v, its lags 1..7, residual lags 1..7) and the long filter.
+    """Per series: second moments of (v, its lags 1..7, residual lags 1..7) and the long filter.
 
     Residuals are ``sum_j a_j v(t-j)`` with an autoregression of ``long`` lags as filter
-    ``a``, so every moment is a weighted sum of autocovariances.
+    ``a``, so every moment is a weighted sum of autocovariances (the rows of ``gamma``).
     """
     lags = np.arange(1, long + 1)
-    toeplitz = gamma[np.abs(lags[:, None] - lags[None, :])]
-    ridge = np.eye(long) * gamma[0] * 1e-9
-    phi = np.linalg.solve(toeplitz + ridge, gamma[lags])
-    filt = np.concatenate([[1.0], -phi])
-    rows = np.zeros((1 + 2 * SEASON, long + SEASON + 1))
+    ridge = np.eye(long) * gamma[:, 0, None, None] * 1e-9
+    phi = _stacked_solve(gamma[:, np.abs(lags[:, None] - lags[None, :])] + ridge, gamma[:, lags])
+    filt = np.concatenate([np.ones((len(gamma), 1)), -phi], axis=1)
+    rows = np.zeros((len(gamma), 1 + 2 * SEASON, long + SEASON + 1))
     for i in range(SEASON + 1):
-        rows[i, i] = 1.0
+        rows[:, i, i] = 1.0
     for i in range(1, SEASON + 1):
-        rows[SEASON + i, i : i + long + 1] = filt
-    index = np.arange(rows.shape[1])
-    return rows @ gamma[np.abs(index[:, None] - index[None, :])] @ rows.T, filt
+        rows[:, SEASON + i, i : i + long + 1] = filt
+    index = np.arange(rows.shape[2])
+    return rows @ gamma[:, np.abs(index[:, None] - index[None, :])] @ rows.transpose(0, 2, 1), filt
 
 
 def _dense(lags: list[int], values: np.ndarray) -> np.ndarray:
-    out = np.zeros(SEASON)
-    for lag, value in zip(lags, values):
-        out[lag - 1] = value
+    out = np.zeros((len(values), SEASON))
+    for at, lag in enumerate(lags):
+        out[:, lag - 1] = values[:, at]
     return out
 
 
-def _largest_root(ar: np.ndarray) -> float:
-    companion = np.zeros((SEASON, SEASON))
-    companion[0] = ar
-    companion[1:, :-1] = np.eye(SEASON - 1)
-    return float(np.abs(np.linalg.eigvals(companion)).max())
+def _stable(ar: np.ndarray) -> np.ndarray:
+    """Whether all roots of each autoregression lie within ``MAX_ROOT``, by stepping its order down.
+
+    Scaled by powers of the bound, the roots must lie within the unit circle: that is so when every
+    reflection coefficient met on the way down is smaller than one.
+    """
+    a = ar / MAX_ROOT ** np.arange(1, SEASON + 1)
+    fine = np.ones(len(a), dtype=bool)
+    for order in range(SEASON, 0, -1):
+        k = a[:, order - 1]
+        fine &= np.abs(k) < 1
+        safe = np.where(fine, 1 - k * k, 1.0)
+        a = (a[:, : order - 1] + k[:, None] * a[:, : order - 1][:, ::-1]) / safe[:, None]
+    return fine
 
 
-def _search(moments: np.ndarray, n: int):
-    """(order, ar, ma, aicc): smallest order whose criterion is within the minimum gain."""
-    tried = []
-    for p, q, sp, sq in _candidates():
+def _search(moments: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per series: place of its order in :func:`_candidates` (-1: none), ar, ma, aicc.
+
+    The smallest order whose criterion is within the minimum gain wins. One stacked solve per order
+    serves all series.
+    """
+    orders = _candidates()
+    count = len(n)
+    aicc = np.full((count, len(orders)), np.inf)
+    ar_all, ma_all = np.zeros((2, count, len(orders), SEASON))
+    power = moments[:, 0, 0]
+    for c, (p, q, sp, sq) in enumerate(orders):
         ar = list(range(1, p + 1)) + [SEASON] * sp
         ma = list(range(1, q + 1)) + [SEASON] * sq
         at = ar + [SEASON + lag for lag in ma]
         k = len(at) + 1
-        if n <= k + 1:
-            continue
-        cross = moments[at, 0]
-        square = moments[np.ix_(at, at)] + np.eye(len(at)) * moments[0, 0] * 1e-9
-        beta = np.linalg.solve(square, cross) if at else np.zeros(0)
-        variance = max(moments[0, 0] - beta @ cross, moments[0, 0] * 1e-12)
-        ar_dense = _dense(ar, beta[: len(ar)])
-        if _largest_root(ar_dense) > MAX_ROOT:
-            continue
-        aicc = n * np.log(variance) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
-        tried.append(((p, q, sp, sq), ar_dense, _dense(ma, beta[len(ar) :]), float(aicc)))
-    if not tried:
-        return None
-    best = min(item[3] for item in tried)
-    return next(item for item in tried if item[3] <= best + MIN_GAIN)
-
-
-def _forecast(ar, ma, filt, weights, centre: float, tail: np.ndarray, steps: int) -> np.ndarray:
-    """Log prices of the next ``steps`` days from the last days of the series."""
-    v = np.convolve(tail, weights, mode="valid") - centre
-    residuals = np.convolve(v, filt, mode="valid")[-SEASON:]
-    e = np.concatenate([np.zeros(SEASON - len(residuals)), residuals, np.zeros(steps)])
-    v = np.concatenate([np.zeros(max(0, SEASON - len(v))), v])[-SEASON:]
-    v = np.concatenate([v, np.zeros(steps)])
-    back = len(weights) - 1
-    y = np.concatenate([tail[len(tail) - back :], np.zeros(steps)])
+        cross = moments[:, at, 0]
+        square = moments[:, np.array(at, dtype=int)[:, None], at] + np.eye(len(at)) * power[:, None, None] * 1e-9
+        beta = _stacked_solve(square, cross) if at else np.zeros((count, 0))
+        variance = np.maximum(power - (beta * cross).sum(axis=1), power * 1e-12)
+        ar_all[:, c], ma_all[:, c] = _dense(ar, beta[:, : len(ar)]), _dense(ma, beta[:, len(ar) :])
+        fine = (n > k + 1) & _stable(np.nan_to_num(ar_all[:, c], nan=9.0)) & np.isfinite(variance)
+        rest = np.where(fine, n - k - 1, 1)
+        value = n * np.log(np.where(fine, variance, 1.0)) + 2 * k + 2 * k * (k + 1) / rest
+        aicc[fine, c] = value[fine]
+    near = aicc <= aicc.min(axis=1, keepdims=True) + MIN_GAIN
+    best = np.where(np.isfinite(aicc).any(axis=1), near.argmax(axis=1), -1)
+    row = np.arange(count)
+    return best, ar_all[row, best], ma_all[row, best], aicc[row, best]
+
+
+def _forecast(ar, ma, filt, weights, centre, tail: np.ndarray, steps: int) -> np.ndarray:
+    """Log prices of the next ``steps`` days from the last days of each series; series are rows."""
+    count, back = len(tail), len(weights) - 1
+
+    def filtered(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """Sums of ``by`` (a filter per row) over the rows, newest last."""
+        m = by.shape[1]
+        return sum(by[:, j, None] * rows[:, m - 1 - j : rows.shape[1] - j] for j in range(m))
+
+    def last(rows: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros((count, max(0, SEASON - rows.shape[1]))), rows[:, -SEASON:]], axis=1)
+
+    past = filtered(tail, np.tile(weights, (count, 1))) - centre[:, None]
+    ahead = np.zeros((count, steps))
+    e = np.concatenate([last(filtered(past, filt)), ahead], axis=1)
+    v = np.concatenate([last(past), ahead], axis=1)
+    y = np.concatenate([tail[:, tail.shape[1] - back :], ahead], axis=1)
     for h in range(steps):
         now = SEASON + h
-        v[now] = ar @ v[now - SEASON : now][::-1] + ma @ e[now - SEASON : now][::-1]
-        y[back + h] = v[now] + centre - weights[1:] @ y[h : back + h][::-1]
-    return y[back:]
-
-
-def _fit_one(d, seasonal_d, centre, n, covariances, tail, steps):
-    """Fit and path of one series; one that cannot be fitted keeps its last price and says why in ``status``."""
-    tail = np.asarray(tail, dtype=float)
-    gamma = np.asarray(covariances, dtype=float) / max(n, 1)
-    flat = {
-        "p": 0, "q": 0, "seasonal_p": 0, "seasonal_q": 0, "aicc": None, "ar": [], "ma": [],
-        "path": np.full(steps, np.exp(tail[-1])).tolist() if len(tail) else None,
-    }
-    if gamma[0] <= 1e-16:
-        return flat | {"status": "constant"}
-    weights = _difference_weights(int(d), int(seasonal_d))
-    long = min(LONG_AR, int(n) // 5)  # a short series carries a shorter autoregression
-    if long < 1 or len(tail) < len(weights) + long:
-        return flat | {"status": "too short"}
-    moments, filt = _moments(gamma, long)
-    found = _search(moments, int(n))
-    if found is None:
-        return flat | {"status": "no candidate"}
-    (p, q, sp, sq), ar, ma, aicc = found
-    path = np.exp(_forecast(ar, ma, filt, weights, centre, tail, int(steps)))
-    if not np.isfinite(path).all():
-        return flat | {"status": "not finite"}
+        v[:, now] = (ar * v[:, h:now][:, ::-1]).sum(axis=1) + (ma * e[:, h:now][:, ::-1]).sum(axis=1)
+        y[:, back + h] = v[:, now] + centre - y[:, h : back + h][:, ::-1] @ weights[1:]
+    return y[:, back:]
+
+
+def _flat(tail: np.ndarray, steps: int, status: str) -> dict:
+    """Result of a series that is not fitted: its last price, and why in ``status``."""
+    path = np.full(steps, np.exp(tail[-1])).tolist() if len(tail) else None
     return {
-        "p": p, "q": q, "seasonal_p": sp, "seasonal_q": sq, "aicc": aicc,
-        "ar": ar.tolist(), "ma": ma.tolist(), "path": path.tolist(), "status": "fitted",
+        "p": 0, "q": 0, "seasonal_p": 0, "seasonal_q": 0, "aicc": None, "ar": [], "ma": [], "path": path, "status": status,
     }
 
 
+def _fit_alike(d: int, seasonal_d: int, long: int, steps: int, gamma, n, centre, tail) -> list[dict]:
+    """Fits and paths of series of the same differencing, filter length, tail length and steps."""
+    weights = _difference_weights(d, seasonal_d)
+    moments, filt = _moments(gamma, long)
+    known = np.isfinite(filt).all(axis=1)
+    best, ar, ma, aicc = _search(np.where(known[:, None, None], moments, 0.0), n)
+    with np.errstate(over="ignore", invalid="ignore"):
+        paths = np.exp(_forecast(ar, ma, np.where(known[:, None], filt, 0.0), weights, centre, tail, steps))
+    orders = _candidates()
+    out = []
+    for i, c in enumerate(best.tolist()):
+        if c < 0 or not known[i]:
+            out.append(_flat(tail[i], steps, "no candidate"))
+        elif not np.isfinite(paths[i]).all():
+            out.append(_flat(tail[i], steps, "not finite"))
+        else:
+            p, q, sp, sq = orders[c]
+            out.append(
+                {
+                    "p": p, "q": q, "seasonal_p": sp, "seasonal_q": sq, "aicc": float(aicc[i]), "ar": ar[i].tolist(),
+                    "ma": ma[i].tolist(), "path": paths[i].tolist(), "status": "fitted",
+                }
+            )
+    return out
+
+
 def _fit_batch(
     d: pd.Series,
     seasonal_d: pd.Series,
@@ -341,8 +383,26 @@ def _fit_batch(
     tail: pd.Series,
     steps: pd.Series,
 ) -> pd.DataFrame:
-    columns = (d, seasonal_d, centre, n, covariances, tail, steps)
-    return pd.DataFrame([_fit_one(*row) for row in zip(*columns)])
+    """Fits of a batch of series. Series that share a shape are fitted together, as stacked systems."""
+    tails = [np.asarray(t, dtype=float) for t in tail]
+    gamma = np.stack([np.asarray(c, dtype=float) for c in covariances]) / np.maximum(n.to_numpy(float), 1)[:, None]
+    out: list = [None] * len(tails)
+    alike: dict[tuple, list[int]] = {}
+    for i, (dd, sd, size, ahead) in enumerate(zip(d.tolist(), seasonal_d.tolist(), n.tolist(), steps.tolist())):
+        long = min(LONG_AR, int(size) // 5)  # a short series carries a shorter autoregression
+        if gamma[i, 0] <= 1e-16:
+            out[i] = _flat(tails[i], ahead, "constant")
+        elif long < 1 or len(tails[i]) < 1 + dd + SEASON * sd + long:
+            out[i] = _flat(tails[i], ahead, "too short")
+        else:
+            alike.setdefault((dd, sd, long, ahead, len(tails[i])), []).append(i)
+    size, middle = n.to_numpy(float), centre.to_numpy(float)
+    for (dd, sd, long, ahead, _), rows in alike.items():
+        stacked = np.stack([tails[i] for i in rows])
+        fitted = _fit_alike(dd, sd, long, ahead, gamma[rows], size[rows], middle[rows], stacked)
+        for i, result in zip(rows, fitted):
+            out[i] = result
+    return pd.DataFrame(out)
 
 
 def fit_sarima(

@@ -42,12 +42,22 @@ def placed_chart_prices(placed: DataFrame, chart_range: tuple[date, date]) -> Da
     return placed.select("series_id", F.explode(inside).alias("_p")).select("series_id", "_p.date", "_p.price")
 
 
+def _loose(df: DataFrame) -> DataFrame:
+    """``df`` with a computed key, for stacking it on another frame.
+
+    A union of equally placed parts is zipped partition by partition, while adaptive execution may have
+    merged the partitions of one part differently. Parts of unknown placement are simply appended.
+    """
+    return df.withColumn("series_id", F.concat("series_id", F.lit("")))
+
+
 def timeline(prices: DataFrame, backtest: DataFrame, operational: DataFrame) -> DataFrame:
     """All chart lines on the union of their dates, null where a line has no value.
 
     The lines are stacked and spread again by one aggregation; five joins on the
     date list would shuffle each line.
     """
+    prices = _loose(prices)
     day = F.col("forecast_date").alias("date")
     long_run = operational.filter(F.col("horizon") == "long")
     stacked = prices.select("series_id", "date", F.lit("actual").alias("line"), F.col("price").alias("value"))
@@ -113,7 +123,7 @@ def backtest_summary(placed: DataFrame, settings: Settings = DEFAULT) -> DataFra
         "series_id", "horizon", "price", "yhat", F.lit(None).cast("date").alias("forecast_date"), F.lit(False).alias("is_step")
     )
     error = metrics.mape(F.col("price"), F.col("yhat"))
-    return steps.unionByName(days).groupBy("series_id", "horizon").agg(
+    return _loose(steps).unionByName(days).groupBy("series_id", "horizon").agg(
         F.coalesce(half_even(F.avg(F.when(F.col("is_step"), F.col("yhat"))), 2), F.lit(0.0)).alias("avg_forecast"),
         metrics.mape_or_zero(error).alias("mape"),
         F.min("forecast_date").alias("forecast_start"),
@@ -168,3 +178,27 @@ def dashboard(obs: DataFrame, settings: Settings = DEFAULT) -> dict[str, DataFra
         "risk": assessed,
         "cards": risk_cards(assessed),
     }
+
+
+#: Frames of the payload and what orders their rows.
+_PARTS = {"timeline": "date", "volatility": "date", "summary": "horizon", "forecast": "horizon", "cards": "horizon"}
+
+
+def payload(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """The whole dashboard as one nested row per series: an array of rows for every frame.
+
+    All frames read one placed panel and are nested in the partitions they are in; a series' arrays
+    are as long as its calendar, whatever the number of raw rows. A frame without rows of a series is
+    an empty array.
+    """
+    frames = dashboard(obs, settings)
+    whole = None
+    for name, first in _PARTS.items():
+        frame = frames[name]
+        rest = [c for c in frame.columns if c not in ("series_id", first)]
+        rows = F.sort_array(F.collect_list(F.struct(first, *rest))).alias(name)
+        nested = frame.groupBy("series_id").agg(rows)
+        whole = nested if whole is None else whole.join(nested, "series_id", "full")
+    return whole.select(
+        "series_id", *[F.coalesce(F.col(n), F.array().cast(whole.schema[n].dataType)).alias(n) for n in _PARTS]
+    )

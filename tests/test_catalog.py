@@ -97,6 +97,13 @@ def test_evaluations_read_the_panel_once(spark, tmp_path, job):
     assert len(re.findall(r"\+- Exchange hashpartitioning", text)) == 1
 
 
+def test_payload_reads_the_panel_once(spark, tmp_path):
+    path = str(tmp_path / "obs")
+    panels.price_obs(spark, SF).write.parquet(path)
+    text = final_plan(report.payload(spark.read.parquet(path), SETTINGS))
+    assert len(re.findall(r"Scan parquet", text)) == 1
+
+
 def test_timeline_reads_the_panel_once(spark, tmp_path):
     path = str(tmp_path / "obs")
     panels.price_obs(spark, SF).write.parquet(path)
