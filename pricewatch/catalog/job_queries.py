@@ -25,7 +25,7 @@ from pricewatch.operators import (
 from pricewatch.operators.regularise import segments
 from pricewatch.plans import evaluation, fit_reuse, forecasting, report, risk
 from pricewatch.session import new_table_path
-from pricewatch.sources import panels
+from pricewatch.sources import panels, sheets
 from pricewatch.streaming import ingest
 
 NOW = datetime(2002, 1, 1)
@@ -82,6 +82,46 @@ def import_files_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.import_sheets(_sheet_cells(spark, sf_dir), 2, "file_no", "row_no")
 
 
+def upload_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet file with its columns in another order and some more, read by its own header."""
+    raw = panels.raw_upload(spark, sf_dir)
+    path = new_table_path(spark, "upload") + ".csv"
+    raw.select(
+        F.col("harga").alias(" HARGA"), F.lit('said "so", twice').alias("catatan"), "row_no",
+        F.col("tanggal").alias("Tanggal "), "file_no",
+    ).write.option("header", True).csv(path)
+    rows = clean.clean_upload(sheets.read_upload(spark, path))
+    return rows.select(F.col("file_no").cast("int").alias("file_no"), F.col("row_no").cast("bigint").alias("row_no"), "date", "price")
+
+
+def import_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly sheets as files, each with its own header line, read back as a folder."""
+    folder = new_table_path(spark, "folder")
+    cells = _sheet_cells(spark, sf_dir)
+    cells.repartition("file_no").sortWithinPartitions("file_no", "row_no").select("file_no", "c0", "c1").write.partitionBy(
+        "file_no"
+    ).csv(folder)
+    found = sheets.read_cells(spark, folder).drop("file_no")
+    rows = clean.import_sheets(found, sheets.width_of(found))
+    year = F.regexp_extract("file_path", r"file_no=(\d+)", 1).cast("int").alias("file_no")
+    return rows.select(year, "date", "price")
+
+
+def yearly_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly files of two spellings, one of which is missing, read and reduced to one price a day."""
+    paths = []
+    for frame in _yearly_frames(spark, sf_dir):
+        paths.append(new_table_path(spark, "yearly") + ".csv")
+        frame.write.option("header", True).csv(paths[-1])
+    frames = [
+        frame.withColumns(
+            {"date": F.col("date").cast("date"), "file_no": F.col("file_no").cast("int"), "row_no": F.col("row_no").cast("bigint")}
+        )
+        for frame in sheets.read_yearly(spark, [*paths, new_table_path(spark, "missing") + ".csv"])
+    ]
+    return clean.load_yearly(frames, ("file_no", "row_no"))
+
+
 def _yearly_frames(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     raw = panels.raw_upload(spark, sf_dir).select(
         F.lit("all").alias("series_id"),
@@ -531,10 +571,10 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tanggal",
         "harga",
     )
-    sheets = new_table_path(spark, "sheets")
-    raw.write.option("header", True).csv(sheets)
+    folder = new_table_path(spark, "sheets")
+    raw.write.option("header", True).csv(folder)
     table = new_table_path(spark, "stream-prices")
-    query = ingest.stream_upserts(spark, sheets, table, new_table_path(spark, "stream-state"))
+    query = ingest.stream_upserts(spark, folder, table, new_table_path(spark, "stream-state"))
     query.awaitTermination()
     return spark.read.parquet(table).select("series_id", "date", "price", "batch_no", "row_no")
 

@@ -43,6 +43,9 @@ def queries() -> dict[str, Query]:
         "backtest_forecast": base.backtest_forecast,
         "clean_upload": jobs.clean_upload,
         "import_files_valid": jobs.import_files_valid,
+        "upload_file": jobs.upload_file,
+        "import_folder": jobs.import_folder,
+        "yearly_files": jobs.yearly_files,
         "concat_years": jobs.concat_years,
         "dedupe_first": jobs.dedupe_first,
         "upsert_prices": jobs.upsert_prices,
@@ -89,4 +92,9 @@ def queries() -> dict[str, Query]:
 
 def oracles() -> dict[str, str]:
     found = {**base_oracles.oracles(), **job_oracles.oracles()}
+    found |= {
+        "upload_file": found["clean_upload"],
+        "import_folder": f"select file_no, date, price from ({found['import_files_valid']})",
+        "yearly_files": found["dedupe_first"],
+    }
     return {**found, "dashboard_payload": job_oracles.dashboard_payload(found)}

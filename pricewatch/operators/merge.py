@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewatch.session import new_table_path
+from pricewatch.session import new_table_path, remove_path
 
 KEYS = ("series_id", "date")
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -82,44 +82,42 @@ def append_unique(
     or with a key that is stored already or was brought by an earlier accepted
     file, is rejected as a whole.
 
-    The keys of the files are reduced to one row per (file, key) and written
-    once. Each round then accepts every open file that owns all its open keys
-    (owner = first open file with that key) and rejects the open files that
-    share a key with those. At least the first open file is settled per round;
-    without chains of conflicting files one round is enough.
+    The keys of all files are counted once. Only files that share a key stand in each other's way:
+    with those keys they form a graph, and everything that follows reads this graph alone. A file
+    that comes first under each of its shared keys is in, and the files it meets there are out and
+    leave the graph. Each round settles at least one file of every chain of conflicts; a file
+    without shared keys takes part in no round. Work tables are removed.
     """
     spark = files.sparkSession
-    path = new_table_path(spark, "append-keys")
+    used: list[str] = []
+
+    def work(df: DataFrame, name: str) -> DataFrame:
+        path = new_table_path(spark, name)
+        used.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     per_key = files.groupBy(file_column, *KEYS).agg(F.count(F.lit(1)).alias("n"))
-    stored = existing.select(*KEYS).distinct().withColumn("_stored", F.lit(True))
-    checked = per_key.join(stored, list(KEYS), "left").withColumn(
-        "bad", (F.col("n") > 1) | F.col("_stored").isNotNull()
-    )
-    checked.select(file_column, *KEYS, "bad").write.parquet(path)
-    keys = spark.read.parquet(path)
-
-    rejected = keys.filter("bad").select(file_column).distinct()
-    open_keys = keys.join(rejected, file_column, "left_anti").select(file_column, *KEYS)
-    accepted = None
-    while True:
-        owner = open_keys.groupBy(*KEYS).agg(F.min(file_column).alias("_owner"))
-        owned = open_keys.join(owner, list(KEYS))
-        free = (
-            owned.groupBy(file_column)
-            .agg(F.max(F.col("_owner") != F.col(file_column)).alias("late"))
-            .filter(~F.col("late"))
-            .select(file_column)
-        )
-        round_path = new_table_path(spark, "append-accepted")
-        free.write.parquet(round_path)
-        settled = spark.read.schema(free.schema).parquet(round_path)
-        accepted = settled if accepted is None else accepted.unionByName(settled)
-        taken = open_keys.join(settled, file_column, "left_semi").select(*KEYS).distinct()
-        blocked = open_keys.join(taken, list(KEYS), "left_semi").select(file_column).distinct()
-        rest_path = new_table_path(spark, "append-open")
-        open_keys.join(blocked, file_column, "left_anti").write.parquet(rest_path)
-        rest = spark.read.schema(open_keys.schema).parquet(rest_path)
-        if rest.isEmpty():
-            break
-        open_keys = rest
-    return files.join(accepted, file_column, "left_semi")
+    held = existing.select(*KEYS).distinct().withColumn("_stored", F.lit(True))
+    bad = (F.col("n") > 1) | F.col("_stored").isNotNull()
+    keys = work(per_key.join(held, list(KEYS), "left").select(file_column, *KEYS, bad.alias("bad")), "append-keys")
+    out = new_table_path(spark, "append-rejected")
+    kind = keys.select(file_column).schema
+    keys.filter("bad").select(file_column).distinct().write.parquet(out)
+
+    open_keys = keys.join(spark.read.schema(kind).parquet(out), file_column, "left_anti").select(file_column, *KEYS)
+    shared = open_keys.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    graph = work(open_keys.join(shared, list(KEYS), "left_semi").select(file_column, *KEYS), "append-conflicts")
+    while not graph.isEmpty():
+        owner = graph.groupBy(*KEYS).agg(F.min(file_column).alias("_owner"))
+        late = graph.join(owner, list(KEYS)).filter(F.col("_owner") != F.col(file_column))
+        free = work(graph.select(file_column).distinct().join(late, file_column, "left_anti"), "append-free")
+        taken = graph.join(free, file_column, "left_semi").select(*KEYS).distinct()
+        met = graph.join(taken, list(KEYS), "left_semi").select(file_column).distinct()
+        blocked = work(met.join(free, file_column, "left_anti"), "append-blocked")
+        blocked.write.mode("append").parquet(out)
+        settled = free.unionByName(blocked)
+        graph = work(graph.join(settled, file_column, "left_anti"), "append-conflicts")
+    for path in used:
+        remove_path(spark, path)
+    return files.join(spark.read.schema(kind).parquet(out), file_column, "left_anti")

@@ -142,3 +142,20 @@ def test_append_unique_chain(spark):
     got = merge.append_unique(files, stored)
     assert sorted({r["file_no"] for r in got.collect()}) == [1, 3, 7]
     assert got.count() == 6
+
+
+def test_chain_of_conflicting_files_and_removed_work_tables(spark, tmp_path, monkeypatch):
+    """File i shares a key with file i + 1; every second one gets in."""
+    made = []
+    monkeypatch.setattr(merge, "new_table_path", lambda spark, name: made.append(str(tmp_path / f"{len(made)}-{name}")) or made[-1])
+    day = dt.date(2020, 1, 1)
+    rows = [(i, "s", day + dt.timedelta(days=i + k), 1.0) for i in range(12) for k in (0, 1)]
+    rows += [(100 + i, "other", day + dt.timedelta(days=i), 1.0) for i in range(5)]
+    rows += [(200, "twice", day, 1.0), (200, "twice", day, 2.0), (201, "held", day, 1.0)]
+    files = spark.createDataFrame(rows, "file_no int, series_id string, date date, price double")
+    held = files.filter("series_id = 'held'").drop("file_no")
+    got = {r["file_no"] for r in merge.append_unique(files, held).select("file_no").distinct().collect()}
+    assert got == {0, 2, 4, 6, 8, 10} | {100, 101, 102, 103, 104}
+    import os
+
+    assert [os.path.basename(p).split("-", 1)[1] for p in made if os.path.exists(p)] == ["append-rejected"]
