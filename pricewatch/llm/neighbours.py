@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 from pricewatch.llm.common import stored
 
+#: Queries and pairs measured at once, and what a matrix product may be off by.
+_QUERIES, _PAIRS, _ROUNDING = 256, 1 << 16, 1e-9
 #: Seed of the projections.
 SEED = 20240917
 
@@ -142,6 +144,39 @@ def _buckets(tables: int, hashes: int, width: float, probes: int):
     return run
 
 
+def _in_order(products: np.ndarray) -> np.ndarray:
+    """Sums along the rows, term after term, as :func:`cosine` sums."""
+    return np.add.accumulate(products, axis=1)[:, -1]
+
+
+def _nearest(vectors: np.ndarray, units: np.ndarray, norms: np.ndarray, ids: np.ndarray, queries: np.ndarray, members: np.ndarray, kept: int):
+    """(query, member, cosine): the ``kept`` nearest members of every query by the exact measure, ties to smaller ids.
+
+    A matrix product finds what can be among them; whatever lies within its rounding of the last place
+    is measured exactly. Queries and pairs are handled in blocks of fixed size.
+    """
+    top = min(kept, len(members))
+    for first in range(0, len(queries), _QUERIES):
+        own = queries[first : first + _QUERIES]
+        near = units[own] @ units[members].T
+        last = np.partition(near, len(members) - top, axis=1)[:, len(members) - top]
+        row, column = np.nonzero(near >= last[:, None] - _ROUNDING)
+        q, m = own[row], members[column]
+        score = np.concatenate(
+            [
+                _in_order(vectors[q[a : a + _PAIRS]] * vectors[m[a : a + _PAIRS]])
+                / (norms[q[a : a + _PAIRS]] * norms[m[a : a + _PAIRS]])
+                for a in range(0, len(q), _PAIRS)
+            ]
+        )
+        order = np.lexsort((ids[m], -score, row))
+        row, q, m, score = row[order], q[order], m[order], score[order]
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        place = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+        best = place < top
+        yield q[best], m[best], score[best]
+
+
 def _meet(kept: int):
     """Best candidates of every query in one group of buckets."""
 
@@ -151,7 +186,8 @@ def _meet(kept: int):
         for n in np.unique(lengths):
             part = rows.filter(pa.array(lengths == n))
             is_query = part.column("is_query").to_numpy()
-            units = _unit(_matrix(part.column("vector").combine_chunks()))
+            vectors = _matrix(part.column("vector").combine_chunks())
+            units, norms = _unit(vectors), np.sqrt(_in_order(vectors * vectors))
             ids = part.column("id").to_numpy()
             lists = part.column("buckets").to_numpy()
             owner = np.repeat(np.arange(len(ids)), [len(x) for x in lists])
@@ -161,15 +197,10 @@ def _meet(kept: int):
             cuts = np.append(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket))
             for first, end in zip(cuts, cuts[1:]):
                 members = owner[first:end]
-                queries, vectors = members[is_query[members]], members[~is_query[members]]
-                if not len(queries) or not len(vectors):
-                    continue
-                near = units[queries] @ units[vectors].T
-                top = min(kept, len(vectors))
-                best = np.argpartition(-near, top - 1, axis=1)[:, :top]
-                found.append(
-                    (np.repeat(ids[queries], top), ids[vectors][best].ravel(), np.take_along_axis(near, best, 1).ravel())
-                )
+                queries, others = members[is_query[members]], members[~is_query[members]]
+                if len(queries) and len(others):
+                    for q, m, score in _nearest(vectors, units, norms, ids, queries, others, kept):
+                        found.append((ids[q], ids[m], score))
         query, rep, near = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         order = np.lexsort((rep, -near, query))
         query, rep, near = query[order], rep[order], near[order]
@@ -235,7 +266,7 @@ def _candidates(
     visits = visits.join(queries, visits["id"] == queries["query_id"]).select(
         "group", F.lit(True).alias("is_query"), "id", F.col("query").alias("vector"), "buckets"
     )
-    kept = k + 4  # the query itself and near ties must not crowd out a result
+    kept = k + 1  # the query itself may be one of them
     met = index.unionByName(visits).groupBy("group").applyInArrow(_meet(kept), "query_id long, rep long, near double")
     merged = met.groupBy("query_id", "rep").agg(F.max("near").alias("near"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "rep"))

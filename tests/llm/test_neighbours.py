@@ -47,3 +47,34 @@ def test_hot_buckets_are_sliced(spark):
     got = neighbours.search(df, F.col("vec_id") % 50 == 0, group_rows=32).orderBy("query_id", "rank").collect()
     want = plain(rows, [r for r in rows if r[0] % 50 == 0], 5)
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == want
+
+
+def test_parallel_vectors_tie_by_the_exact_measure(spark):
+    """Multiples of one vector have cosines that differ in the last bits or not at all."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(16)
+    rows = [(i, (base * float(rng.uniform(0.1, 9))).tolist()) for i in range(400)]
+    rows += [(1000 + i, rng.standard_normal(16).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    got = [tuple(r) for r in neighbours.search(df, F.col("vec_id") % 50 == 0, group_rows=64).orderBy("query_id", "rank").collect()]
+    fine = neighbours.usable(df, "vec_id", "embedding")
+    queries = fine.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    want = neighbours.exact(queries, neighbours.distinct_vectors(fine, 5), 5).orderBy("query_id", "rank").collect()
+    want = [tuple(r) for r in want]
+    assert [r for r in got if r[0] < 1000] == [r for r in want if r[0] < 1000]
+
+
+def test_blocks_do_not_change_results(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vectors = rng.standard_normal((60, 8))
+    norms = np.sqrt(neighbours._in_order(vectors * vectors))
+    ids, members = rng.permutation(60), np.arange(20, 60)
+
+    def best():
+        parts = neighbours._nearest(vectors, neighbours._unit(vectors), norms, ids, np.arange(20), members, 6)
+        return [np.concatenate(x).tolist() for x in zip(*parts)]
+
+    whole = best()
+    monkeypatch.setattr(neighbours, "_QUERIES", 3)
+    monkeypatch.setattr(neighbours, "_PAIRS", 5)
+    assert best() == whole
