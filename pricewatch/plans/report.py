@@ -116,17 +116,15 @@ def backtest_summary(placed: DataFrame, settings: Settings = DEFAULT) -> DataFra
     the average over their steps, the error over the test days of the panel.
     """
     fits = forecasting.backtest_fits(placed, settings)
-    steps = forecasting.backtest_rows(calendar.with_steps(fits)).select(
-        "series_id", "horizon", F.lit(None).cast("double").alias("price"), "yhat", "forecast_date", F.lit(True).alias("is_step")
-    )
-    days = evaluation.dated_pairs(placed, fits, settings).select(
-        "series_id", "horizon", "price", "yhat", F.lit(None).cast("date").alias("forecast_date"), F.lit(False).alias("is_step")
+    keys = ["series_id", "horizon"]
+    steps = forecasting.backtest_rows(calendar.with_steps(fits)).groupBy(*keys).agg(
+        F.coalesce(half_even(F.avg("yhat"), 2), F.lit(0.0)).alias("avg_forecast"),
+        F.min("forecast_date").alias("forecast_start"),
     )
     error = metrics.mape(F.col("price"), F.col("yhat"))
-    return _loose(steps).unionByName(days).groupBy("series_id", "horizon").agg(
-        F.coalesce(half_even(F.avg(F.when(F.col("is_step"), F.col("yhat"))), 2), F.lit(0.0)).alias("avg_forecast"),
-        metrics.mape_or_zero(error).alias("mape"),
-        F.min("forecast_date").alias("forecast_start"),
+    days = evaluation.dated_pairs(placed, fits, settings).groupBy(*keys).agg(error.alias("_error"))
+    return steps.join(days, keys, "left").select(
+        *keys, "avg_forecast", metrics.mape_or_zero(F.col("_error")).alias("mape"), "forecast_start"
     )
 
 
