@@ -127,15 +127,15 @@ def _cut_batches(length: int):
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 rows = [
-                    (p["key"], p["snippet"], p["split"], text.encode()[p["first"] : p["last"] + length])
+                    (p["key"], p["snippet"], p["split"], p["n"], text.encode()[p["first"] : p["last"] + length])
                     for text, places in zip(part.column("text").to_pylist(), part.column("places").to_pylist())
                     for p in places
                 ]
-                keys, names, split, data = zip(*rows) if rows else ((),) * 4
+                keys, names, split, n, data = zip(*rows) if rows else ((),) * 5
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(split, pa.bool_()),
-                     pa.array(data, pa.binary())],
-                    names=["key", "snippet", "split", "data"],
+                     pa.array(n, pa.int64()), pa.array(data, pa.binary())],
+                    names=["key", "snippet", "split", "n", "data"],
                 )
 
     return run
@@ -220,25 +220,24 @@ def _window_batches(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, name, data in zip(*(batch.column(c).to_pylist() for c in ("key", "snippet", "data"))):
+            for key, name, times, data in zip(*(batch.column(c).to_pylist() for c in ("key", "snippet", "n", "data"))):
                 hashes = gram_hashes(np.frombuffer(data, dtype=np.uint8), length).view(np.int64)
                 other = [_signed(xxhash.xxh64_intdigest(data[p : p + length])) for p in range(len(hashes))]
                 n = len(hashes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, key)), pa.array(np.full(n, name)), pa.array(np.arange(n, dtype=np.int32)),
-                     pa.array(hashes), pa.array(other, pa.int64())],
-                    names=["key", "snippet", "place", "h1", "h2"],
+                    [pa.array(np.full(n, key)), pa.array(np.full(n, name)), pa.array(np.full(n, times)),
+                     pa.array(np.arange(n, dtype=np.int32)), pa.array(hashes), pa.array(other, pa.int64())],
+                    names=["key", "snippet", "n", "place", "h1", "h2"],
                 )
 
     return run
 
 
-def _split_runs(cut: DataFrame, counts: DataFrame, length: int) -> DataFrame:
+def _split_runs(cut: DataFrame, length: int) -> DataFrame:
     """Runs of repeated starts of the snippets of split shards."""
-    windows = cut.select("key", "snippet", "data").mapInArrow(
-        _window_batches(length), "key long, snippet long, place int, h1 long, h2 long"
+    windows = cut.select("key", "snippet", "n", "data").mapInArrow(
+        _window_batches(length), "key long, snippet long, n long, place int, h1 long, h2 long"
     ).distinct()
-    windows = windows.join(counts.select("key", "snippet", "n"), ["key", "snippet"])
     windows = stored(windows, "split-windows")
     often = windows.groupBy("key", "h1", "h2").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
     often = stored(often, "frequent-windows")
@@ -269,15 +268,15 @@ def repeated_runs(docs: DataFrame, length: int = 400, gram: int = 128, id_col: s
     counts = stored(counts, "snippet-counts")
     size = stored(counts.groupBy("key").agg((F.count("*") > SHARD_SNIPPETS).alias("split")), "shard-sizes")
     chosen = counts.join(size, "key").groupBy("place.id", "place.text_hash").agg(
-        F.collect_list(F.struct("key", "snippet", "split", "place.first", "place.last")).alias("places")
+        F.collect_list(F.struct("key", "snippet", "split", "n", "place.first", "place.last")).alias("places")
     )  # at most the snippets of one text
     cut = rows.join(chosen, ["id", "text_hash"]).select("text", "places").mapInArrow(
-        _cut_batches(length), "key long, snippet long, split boolean, data binary"
+        _cut_batches(length), "key long, snippet long, split boolean, n long, data binary"
     )
     cut = stored(cut, "snippets")
     shards = cut.where("not split").select("key", "snippet", "data").repartition("key").sortWithinPartitions("key", "snippet")
     found = shards.mapInArrow(_shard_batches(length), _RUNS)
-    split = _split_runs(cut.where("split"), counts, length)
+    split = _split_runs(cut.where("split"), length)
     by_shard = stored(found.unionByName(split), "shard-runs")
     # a snippet that occurs twice is repeated in all its windows, whatever its shard says
     often = counts.where("n > 1").select("key", "snippet", F.lit(True).alias("often"))
