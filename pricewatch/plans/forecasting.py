@@ -7,7 +7,7 @@ everything after that stays in the same partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewatch.config import DEFAULT, Settings
@@ -29,17 +29,31 @@ def filling(settings: Settings = DEFAULT) -> Filling:
     return Filling(limit=settings.interpolation_limit)
 
 
+def panel_partitions(spark: SparkSession) -> int:
+    """A quarter of the shuffle partitions, but four for each core; at most all of them.
+
+    A task that fits series takes about 0.5 GB however few it has, so more partitions would only cost time.
+    """
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(most // 4, 4 * spark.sparkContext.defaultParallelism))
+
+
 def place(obs: DataFrame) -> DataFrame:
     """The panel in partitions by series, for plans that read it more than once.
 
     Rows without a series or a date are no rows of any series. Dropping them
     here keeps the filters that joins and cut-offs would infer from making the
     reads differ.
+
+    The partitions are given by number, so small ones are not merged: a series
+    is few bytes here, but its cells and segments take a hundred times as many
+    in the task that fits it.
     """
+    parts = panel_partitions(obs.sparkSession)
     return (
         obs.filter(F.col("series_id").isNotNull() & F.col("date").isNotNull())
         .select("series_id", "date", "price")
-        .repartition("series_id")
+        .repartition(parts, "series_id")
     )
 
 

@@ -125,3 +125,17 @@ def test_risk_reads_one_exchange(spark, tmp_path):
     final = plan(df).split("Initial Plan")[0]
     assert len(re.findall(r"\+- Exchange hashpartitioning", final)) == 1
     assert "ReusedExchange" in final and "CartesianProduct" not in final
+
+
+@pytest.mark.parametrize(
+    "job",
+    [lambda o: forecasting.backtest_fits(forecasting.place(o), SETTINGS), lambda o: risk.assess(o, SETTINGS)],
+    ids=["fits", "risk"],
+)
+def test_small_partitions_of_a_placed_panel_are_not_merged(spark, job):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        assert job(panels.price_obs_supplier(spark, SF)).rdd.getNumPartitions() == 24
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
