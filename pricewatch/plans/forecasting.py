@@ -127,13 +127,13 @@ def operational_fits(
     obs: DataFrame, settings: Settings = DEFAULT, trim: bool = True
 ) -> DataFrame:
     """Blend parameters per series and horizon, after trimming flat tails."""
-    fits = _fits(_cut_segments(obs, settings.horizons, settings), filling(settings), trim)
+    fits = _fits(_cut_segments(place(obs), settings.horizons, settings), filling(settings), trim)
     return calendar.horizons_of_cut(fits, settings.horizons, settings)
 
 
 def backtest_fits(obs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Blend parameters per series and backtest window; flat tails are kept."""
-    fits = _fits(_cut_segments(obs, settings.eval_windows, settings), filling(settings))
+    fits = _fits(_cut_segments(place(obs), settings.eval_windows, settings), filling(settings))
     return calendar.horizons_of_cut(fits, settings.eval_windows, settings)
 
 

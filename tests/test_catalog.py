@@ -129,8 +129,12 @@ def test_risk_reads_one_exchange(spark, tmp_path):
 
 @pytest.mark.parametrize(
     "job",
-    [lambda o: forecasting.backtest_fits(forecasting.place(o), SETTINGS), lambda o: risk.assess(o, SETTINGS)],
-    ids=["fits", "risk"],
+    [
+        lambda o: forecasting.backtest_fits(forecasting.place(o), SETTINGS),
+        lambda o: risk.assess(o, SETTINGS),
+        lambda o: forecasting.operational_fits(o, SETTINGS, trim=False),
+    ],
+    ids=["fits", "risk", "unplaced"],
 )
 def test_small_partitions_of_a_placed_panel_are_not_merged(spark, job):
     before = spark.conf.get("spark.sql.shuffle.partitions")
